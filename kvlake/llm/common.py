@@ -62,6 +62,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e, before = settle(e), None
+    if e.isEmpty():
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
         # large star
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +50,9 @@ def fingerprint(text: bytes) -> int:
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest, votes, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - width + 1
     spans = zip(starts, ends[width - 1 :], strict=False)
-    while chunk := [digest(joined[s:e], SEED) for (s, e), _ in zip(spans, range(CHUNK), strict=False)]:
+    while chunk := [digest(joined[s:e], SEED) for s, e in islice(spans, CHUNK)]:
         bits = np.unpackbits(np.array(chunk, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-        if len(chunk) < CHUNK:
-            break
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
@@ -114,7 +112,7 @@ def link(fps: DataFrame) -> DataFrame:
     small = full.count() <= BROADCAST_ROWS
     members = settle(_keys(fps).join(F.broadcast(full) if small else full, "key"))
     pivots = members.select(_back("x").alias("a"), F.when(_is_exact() | (F.col("x") >= 0), _back("lo")).otherwise(_back("hi")).alias("b"))
-    labels = settle(components(extremes.unionByName(pivots).where(F.col("a") <> F.col("b")).where(_near(F.col("a"), F.col("b")))))
+    labels = settle(components(extremes.unionByName(pivots).where("a <> b").where(_near(F.col("a"), F.col("b")))))
 
     # buckets in which several components meet
     known = members.select("key", "n", "turn", "x", _back("x").alias("node")).join(labels, "node", "left")
@@ -125,20 +123,26 @@ def link(fps: DataFrame) -> DataFrame:
     across = F.expr("a.key = b.key and a.label < b.label and ((a.key >> 32) in (32, 65) or (a.x < 0) <> (b.x < 0))")
     pairs = a.join(b, across & _near(F.col("a.node"), F.col("b.node"))).select(F.col("a.label").alias("a"), F.col("b.label").alias("b"))
     large = left.where(f"n > {PAIR_LIMIT}")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_variant_links(large))
+    merged = components(pairs)
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    alone = merged.join(labels.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
+    return labels.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component")).unionByName(alone)
+
+
+def _variant_links(large: DataFrame) -> DataFrame:
+    """(a, b): labels of members of large buckets linked through equal variants of their other segment."""
     other = F.expr("if((key >> 32) < 33, shiftrightunsigned(node, 32), node & 4294967295L)")
     one_way = lambda rows, width: rows.select(
-        "label", F.explode(F.transform(F.array(*[F.lit(m) for m in _variants(width)]), lambda m, i: F.struct(F.col("key"), i.alias("way"), other.bitwiseAND(m).alias("rest")))).alias("variant")
+        "label", F.explode(F.transform(F.expr(f"array({','.join(f'{m}L' for m in _variants(width))})"), lambda m, i: F.struct(F.col("key"), i.alias("way"), other.bitwiseAND(m).alias("rest")))).alias("variant")
     )
     ways = one_way(large.where(_is_exact()), MAX_BITS).unionByName(one_way(large.where(~_is_exact()), MAX_BITS - 1)).distinct()
-    stars = ways.select(F.col("label").alias("a"), F.min("label").over(Window.partitionBy("variant")).alias("b"))
-    merged = components(pairs.unionByName(stars))
-    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("final"))
-    alone = merged.join(labels.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
-    return labels.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component")).unionByName(alone)
+    return ways.select(F.col("label").alias("a"), F.min("label").over(Window.partitionBy("variant")).alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id, n_links): one row for each row of docs; component_id is the smallest id reachable.
+    """(id, fp, component_id, n_rows): one row for each row of docs; component_id is the smallest id reachable.
 
     n_rows counts the rows of the component, so a document alone has 1.
     """
