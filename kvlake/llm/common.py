@@ -19,8 +19,10 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Array of the words of a text; null text gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != F.lit(""))
+    """Array of the words of a text that isn't null. Splitting at one plain character takes Java's fast path, a pattern doesn't."""
+    odd = "\t\n\x0b\f\r"
+    plain = F.when(F.rlike(text, F.lit(r"[\x09-\x0D]")), F.translate(text, odd, " " * len(odd))).otherwise(text)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def total(values: Column) -> Column:

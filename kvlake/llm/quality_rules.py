@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, total, words_of
+from .common import let, total, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -24,7 +24,6 @@ SYMBOLS = r"[#*$%&|<>]"
 TERMINAL = r"[.!?:;…。！？；：؟।\"”’»')\]]$"
 SHORT_LINE_WORDS = 4
 MAX_SYMBOLS_PER_100_WORDS = 25
-MAX_UPPER_PERCENT = 60
 MAX_BANGS_PER_100_WORDS = 30
 LONG_LINE_WORDS = 20
 MIN_DISTINCT_PERCENT = 25
@@ -57,26 +56,21 @@ def repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= WINDOW, none).otherwise(some(w)))
 
 
-def line_fails(line: Column) -> Column:
-    """True if a line that has a word breaks a punctuation, navigation, symbol, shouting, repetition or boilerplate rule."""
-
-    def rules(w: Column) -> Column:
-        n = F.size(w)
-        letters = lambda p: F.regexp_count(line, F.lit(p))
-        return (
-            ((n < SHORT_LINE_WORDS) & ~F.rlike(F.get(w, n - 1), F.lit(TERMINAL)))
-            | (letters(SYMBOLS) * 100 > n * MAX_SYMBOLS_PER_100_WORDS)
-            | (letters("!!") * 100 > n * MAX_BANGS_PER_100_WORDS)
-            | ((n >= SHORT_LINE_WORDS) & (letters(r"\p{Lu}") * 100 > F.length(line) * MAX_UPPER_PERCENT))
-            | ((n >= LONG_LINE_WORDS) & (F.size(F.array_distinct(w)) * 100 < n * MIN_DISTINCT_PERCENT))
-            | ((n < BOILERPLATE_WORDS) & F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE))))
-        )
-
-    return let(words_of(line), rules)
+def line_fails(line: Column, w: Column, symbols: Column) -> Column:
+    """True if a line (its words w, its number of symbols) breaks a punctuation, symbol and navigation, shouting, repetition or boilerplate rule."""
+    n = F.size(w)
+    return (n > 0) & (
+        ((n < SHORT_LINE_WORDS) & ~F.rlike(F.get(w, n - 1), F.lit(TERMINAL)))
+        | (symbols * 100 > n * MAX_SYMBOLS_PER_100_WORDS)
+        | (F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit("!!")) * 100 > n * MAX_BANGS_PER_100_WORDS))
+        | ((n >= SHORT_LINE_WORDS) & (F.upper(line) == line) & (F.lower(line) != line))
+        | ((n >= LONG_LINE_WORDS) & (F.size(F.array_distinct(w)) * 100 < n * MIN_DISTINCT_PERCENT))
+        | ((n < BOILERPLATE_WORDS) & F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE))))
+    )
 
 
-def word_chars(words: Column) -> Column:
-    return total(F.transform(words, lambda w: F.length(w)))
+def chars_of(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,43 +78,39 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     cleaned is the text without its failing lines; it is the text itself where none fails.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    one = docs.select(F.col(id_col), text.alias("t"))
-    has_word = lambda x: F.rlike(x, F.lit(WORD))
-    parts = one.select(
-        id_col,
-        "t",
-        let(words_of(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"), repeat_words(w).alias("n_repeat_words"))).alias("a"),
-        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(
-            F.split("t", "\n"),
-            lambda lines: F.struct(
-                let(F.filter(lines, has_word), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-                F.transform(lines, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x)).alias("fails"))).alias("lines"),
-            ),
-        ).alias("b"),
-    )
-    a, b = F.col("a"), F.col("b")
-    gone = F.filter(b["lines"], lambda x: x["fails"])
-    judged = parts.select(
-        id_col,
-        "t",
-        a["n_words"].alias("n_words"),
-        a["word_chars"].alias("word_chars"),
-        "n_symbols",
-        b["n_dup_lines"].alias("n_dup_lines"),
-        a["n_repeat_words"].alias("n_repeat_words"),
-        let(gone, lambda g: F.struct(F.size(g).cast("long").alias("n"), total(F.transform(g, lambda x: F.length(F.regexp_replace(x["line"], SPACE, "")))).alias("chars"))).alias("g"),
-        F.array_join(F.transform(F.filter(b["lines"], lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("rest"),
-    )
+    one = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+
+    def judged_line(line: Column) -> Column:
+        counted = F.struct(words_of(line).alias("w"), F.regexp_count(line, F.lit(SYMBOLS)).alias("s"))
+        return let(counted, lambda c: F.struct(line.alias("line"), c["w"].alias("w"), c["s"].alias("s"), line_fails(line, c["w"], c["s"]).alias("fails")))
+
+    def document(lines: Column) -> Column:
+        gone = F.flatten(F.transform(F.filter(lines, lambda x: x["fails"]), lambda x: x["w"]))
+        seen = F.transform(F.filter(lines, lambda x: F.size(x["w"]) > 0), lambda x: x["line"])
+        words = F.flatten(F.transform(lines, lambda x: x["w"]))
+        of_words = lambda w: F.struct(F.size(w).cast("long").alias("n"), chars_of(w).alias("chars"), repeat_words(w).alias("repeat"))
+        return F.struct(
+            let(words, of_words).alias("words"),
+            total(F.transform(lines, lambda x: x["s"])).alias("n_symbols"),
+            let(seen, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            F.size(F.filter(lines, lambda x: x["fails"])).cast("long").alias("n_failed"),
+            chars_of(gone).alias("lost"),
+            F.array_join(F.transform(F.filter(lines, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("rest"),
+        )
+
+    parts = one.select(id_col, "t", let(F.transform(F.split("t", "\n"), judged_line), document).alias("d"))
+    d = parts.select(
+        id_col, "t", F.col("d.words.n").alias("n_words"), F.col("d.words.chars").alias("word_chars"), "d.n_symbols", "d.n_dup_lines",
+        F.col("d.words.repeat").alias("n_repeat_words"), "d.n_failed", "d.lost", "d.rest",
+    )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return judged.select(
+    return d.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        F.col("g.n").alias("n_failed_lines"),
-        F.col("g.chars").alias("lost_chars"),
-        (~failed & (F.col("g.chars") * 100 <= F.col("word_chars") * MAX_LOST_PERCENT)).alias("kept"),
-        F.when(F.col("g.n") == 0, F.col("t")).otherwise(F.col("rest")).alias("cleaned"),
+        F.col("n_failed").alias("n_failed_lines"),
+        F.col("lost").alias("lost_chars"),
+        (~failed & (F.col("lost") * 100 <= F.col("word_chars") * MAX_LOST_PERCENT)).alias("kept"),
+        F.when(F.col("n_failed") == 0, F.col("t")).otherwise(F.col("rest")).alias("cleaned"),
     )
 
 

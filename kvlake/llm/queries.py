@@ -5,18 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import chat, mixing, packing, quality_rules, simhash, tiff, tokens
 
-WORD_SQL = r"'[^\x20\x09-\x0D]+'"
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_documents(spark, sf_dir))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
+    return chat.digest(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tiff.store_texts(_documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
+    )
+    keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    return tiff.digest(tiff.pages(files, "media", keep), keep)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.quality_rules(_documents(spark, sf_dir))
-    return found.drop("cleaned")
+    return quality_rules.quality_rules(_documents(spark, sf_dir)).drop("cleaned")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +50,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_rows")
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules, "op10_simhash": op10_simhash}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_source_mixing, op3_token_counts, op4_chat_formatting, op6_media_tiff, op9_quality_rules, op10_simhash)
+}
 
 ORACLES: dict[str, str] = {}
