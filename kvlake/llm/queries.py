@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality_rules, simhash, tiff, tokens
+from . import chat, line_dedup, mixing, packing, quality_rules, simhash, tiff, tokens
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -33,6 +33,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_documents(spark, sf_dir)).drop("t")
+
+
 def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tiff.store_texts(_documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_source_mixing, op3_token_counts, op4_chat_formatting, op6_media_tiff, op9_quality_rules, op10_simhash)
+    for f in (op1_best_fit_packing, op2_source_mixing, op3_token_counts, op4_chat_formatting, op5_line_dedup, op6_media_tiff, op9_quality_rules, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {}
