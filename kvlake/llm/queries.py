@@ -54,9 +54,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_rows")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_source_mixing, op3_token_counts, op4_chat_formatting, op5_line_dedup, op6_media_tiff, op9_quality_rules, op10_simhash)
+    for f in (op1_best_fit_packing, op2_source_mixing, op3_token_counts, op4_chat_formatting, op5_line_dedup, op6_media_tiff, op9_quality_rules, op10_simhash, pipeline)
 }
 
 ORACLES: dict[str, str] = {}
