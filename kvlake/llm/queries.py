@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, packing, quality_rules, simhash, surrogates, tiff, tokens
+from . import chat, line_dedup, lm_scoring, mixing, packing, quality_rules, simhash, surrogates, tiff, tokens
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +49,10 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(_documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir)).drop("cleaned")
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_source_mixing, op3_token_counts, op4_chat_formatting, op5_line_dedup, op6_media_tiff, op7_pii_surrogates, op9_quality_rules, op10_simhash, pipeline)
+    for f in (op1_best_fit_packing, op2_source_mixing, op3_token_counts, op4_chat_formatting, op5_line_dedup, op6_media_tiff, op7_pii_surrogates, op8_lm_scoring, op9_quality_rules, op10_simhash, pipeline)
 }
 
 ORACLES: dict[str, str] = {}
