@@ -37,6 +37,8 @@ MAX_BITS = 3
 PAIR_LIMIT = 256
 #: Rows of a key table that may be broadcast (24 bytes each).
 BROADCAST_ROWS = 200_000
+#: Fingerprints in a task that makes keys.
+TASK_ROWS = 20_000
 CHUNK = 1 << 16
 
 
@@ -104,6 +106,8 @@ def _variants(width: int) -> list[int]:
 
 def link(fps: DataFrame) -> DataFrame:
     """(node, component) of distinct fingerprints (column fp), for those that have a link; components by smallest node."""
+    # 66 rows each: as many tasks as the fingerprints need, however few files they came from
+    fps = fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // TASK_ROWS)), "fp")
     stats = _keys(fps).groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("turn").alias("turn"))
     # on either side of a left-out bit someone must stand
     stats = settle(stats.where("lo < hi").where(_is_exact() | F.expr("lo < 0 and hi >= 0")))
