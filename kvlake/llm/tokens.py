@@ -30,7 +30,7 @@ CACHE = 400_000
 BATCH_BYTES = 8 << 20
 
 #: Pieces of these characters lower, normalise and split alike in both libraries.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ňŊ-ſ]*")
+PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-įĲ-ňŊ-ſ]*")
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]|(?:^|[ \n])[ \n]|[ \n]$")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
