@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import by_bytes, settle
 from .tokens import tokenizer_path, word_tokenizer
 
 CAPACITY = 4096
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = word_tokenizer(path)
-        for b in batches:
+        for b in by_bytes(batches, 1):
             rows, part, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 data = t.encode(text) + end

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import by_bytes, components, settle
 
 SHINGLE = 3
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in by_bytes(batches, 1):
         values = pa.array([fingerprint((t or "").encode()) for t in b.column(1).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0), values], ["id", "fp"])
 

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 CACHE = 400_000
-#: Bytes of text that one Arrow batch of results stands for, and the characters of a slice of a long text.
-BATCH_BYTES = 8 << 20
 
 #: Pieces of these characters lower, normalise and split alike in both libraries.
 PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-įĲ-ňŊ-ſ]*")
@@ -177,15 +177,15 @@ def byte_tokenizer(path: str, ranks_path: str) -> ByteTokenizer:
 def token_counts(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit): one row for each row of docs, lengths only.
 
-    Null text counts as empty: no bytes, no tokens. An empty table gives no rows. Scans balance the work, as Spark
-    cuts them by bytes; nothing is shuffled and a batch's texts are encoded one after the other, a long one in slices.
+    Null text counts as empty: no bytes, no tokens. An empty table gives no rows. Nothing is shuffled: scans are cut by
+    bytes, so are the slices of an Arrow batch, and long texts are encoded piece by piece.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
     ranks_path = ranks_path or tokenizer_path("byte_bpe_50k.tiktoken")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = byte_tokenizer(path, ranks_path)
-        for b in batches:
+        for b in by_bytes(batches, 2):
             n = pa.array([t.count(x) for x in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["id", "n_bytes", "n_tokens"])
 
