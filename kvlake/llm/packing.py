@@ -33,8 +33,8 @@ CAPACITY = 4096
 END_ID = 1
 GROUPS = 64
 DEPTH = 3
-#: Pieces that one bucket of ranks holds, about.
-BUCKET_ROWS = 50_000
+#: Pieces of one length that a bucket of ranks holds, about.
+BUCKET_ROWS = 4_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -180,9 +180,10 @@ def pack(lengths: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataF
     """
     histogram = {r["length"]: r["count"] for r in lengths.groupBy("length").count().collect()}  # capacity rows at most
     runs = np.array(sorted(Plan(histogram, capacity).runs), np.int64).reshape(-1, 5)
-    buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    bucketed = lengths.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    counts = bucketed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))  # buckets x capacity rows
+    # as many buckets as a length's count asks for; a row for each length, capacity rows at most
+    buckets = lengths.sparkSession.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in sorted(histogram.items())], "length long, __buckets int")
+    bucketed = lengths.join(F.broadcast(buckets), "length").withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.col("__buckets")).cast("int"))
+    counts = bucketed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("length", "__bucket").orderBy(*keys)
