@@ -44,7 +44,7 @@ FORMS = {
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
     "phone": r"(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d{3,4})|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\p{N}])",
     "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,64})(?![\p{L}\p{N}])",
-    "name": rf"(?:{_NAMES}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "name": rf"(?=\p{{Lu}})(?:{_NAMES}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
 }
 ENTITY = r"(?<![\p{L}\p{N}._%+@-])(?=[\p{L}\p{N}(+._%-])(?:" + "|".join(FORMS.values()) + ")"
 
