@@ -321,7 +321,7 @@ def test_surrogates(spark):
     got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, (t, kind) in enumerate(PRIVATE):
         assert set(got[i].kinds) == {kind} and got[i].n_entities >= 1 and len(got[i].text) == len(t) or kind in ("name", "ip")
-        for raw in re.findall(surrogates.ENTITY.replace(r"\p{L}", "^\\W\\d_").replace(r"\p{N}", r"\d") if False else r"\S+@\S+\w|\d{4} ?\d{4} ?\d{4} ?\d{4}|555-0199|10\.20\.30\.40|123-45-6789|3704|ab12ab12|Schmidt|Петров", t):
+        for raw in re.findall(r"\S+@\S+\w|\d{4} ?\d{4} ?\d{4} ?\d{4}|555-0199|10\.20\.30\.40|123-45-6789|3704|ab12ab12|Schmidt|Петров", t):
             assert raw not in got[i].text
     assert got[100].text is None and got[100].n_entities == 0 and got[101].text == "" and got[102].text == rows[12][1] and got[102].n_entities == 0
     a, b = got[1].surrogates
