@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, settle
+from .common import WORD, components, let, settle
 
 WIDTH = 12
 BANDS = 10
@@ -28,6 +28,10 @@ GRAM = 5
 SIMILARITY = 0.8
 LAG = 4
 SHARD_ROWS = 512
+#: Minima of all that a later candidate must share: similar lines share about two thirds, and this few once in 10,000 pairs.
+LEAST_SHARED = 9
+#: Line hashes (8 bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
 #: A shingle begins at a word or at a character of a script written without spaces (Thai, kana, Han, Hangul).
 SHINGLES = rf"(?s)(?:(?<!\S)|(?=[฀-๿぀-ヿ㐀-鿿가-힯]))(?=(\S.{{0,{WIDTH - 1}}}))"
 
@@ -46,42 +50,51 @@ def _signatures(lines: DataFrame) -> DataFrame:
     constant = lambda j: (0x9E3779B97F4A7C15 * (j + 1) >> 13) & 0x7FFFFFFF
     minima = [F.min(F.col("ab"[j % 2]).bitwiseXOR(F.lit(constant(j)))).alias(f"m{j}") for j in range(BANDS * ROWS)]
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return halves.groupBy("h").agg(*minima).select("h", keys.alias("keys"))
+    return halves.groupBy("h").agg(*minima).select("h", keys.alias("keys"), F.array(*[f"m{j}" for j in range(BANDS * ROWS)]).alias("m"))
 
 
 def _grams(line: Column) -> Column:
+    """Hashes of a line's different shingles, as numbers: sets of these are several times faster than of strings."""
     low = F.lower(line)
-    return F.when(F.length(low) < GRAM, F.array(low)).otherwise(F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))))
+    every = F.when(F.length(low) < GRAM, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    return F.array_distinct(F.transform(every, lambda g: F.xxhash64(g)))
 
 
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(h, line) of the given line hashes. Few of them go to the lines, else both are shuffled."""
+    nodes = settle(nodes.distinct())
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    return settle(lines.select("h", "line").join(few, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines have Jaccard similarity SIMILARITY at least."""
-    pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = settle(lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # a set can only be that similar to one of near its size
-    near = F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * (SIMILARITY / 2)
-    sized = both.where(near).select("a", "b", F.transform(F.array(F.struct(_grams(F.col("x")).alias("p"), _grams(F.col("y")).alias("q"))), lambda g: F.struct(F.size(F.array_intersect(g["p"], g["q"])).alias("c"), (F.size(g["p"]) + F.size(g["q"])).alias("n")))[0].alias("s"))
-    return sized.where(F.col("s.c") >= SIMILARITY * (F.col("s.n") - F.col("s.c"))).select("a", "b")
+    sets = let(F.struct(_grams(F.col("x")).alias("p"), _grams(F.col("y")).alias("q")), lambda g: F.struct(F.size(F.array_intersect(g["p"], g["q"])).alias("c"), (F.size(g["p"]) + F.size(g["q"])).alias("n")))
+    return both.select("a", "b", sets.alias("s")).where(F.col("s.c") >= SIMILARITY * (F.col("s.n") - F.col("s.c"))).select("a", "b")
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
     """(h, component): line hashes that are similar to another line, with their component."""
     keys = settle(_signatures(lines))
-    rows = keys.select("h", F.posexplode("keys").alias("band", "key"), "keys")
+    rows = keys.select("h", F.posexplode("keys").alias("band", "key"), "keys", "m")
     stats = settle(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"))
     order = F.get("keys", F.pmod(F.col("band") + 1, F.lit(BANDS)))
-    members = settle(rows.select("h", "key", order.alias("o")).join(stats.where("n > 2").select("key", "lo", "n"), "key"))
-    first = _similar(stats.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(members.select(F.col("h").alias("a"), F.col("lo").alias("b"))), lines)
-    first = settle(first)
+    full = stats.where("n > 2").select("key", "lo", "n")
+    members = settle(rows.select("h", "key", order.alias("o"), "m").join(full, "key"))
+    extremes = stats.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    texts = _texts(lines, extremes.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")))
+    first = settle(_similar(extremes.unionByName(members.select(F.col("h").alias("a"), F.col("lo").alias("b"))), texts))
     labels = settle(components(first))
-    labelled = members.join(labels, F.col("h") == F.col("node"), "left").select("key", "n", "o", "h", F.coalesce("component", "h").alias("label"))
+    labelled = members.join(labels, F.col("h") == F.col("node"), "left").select("key", "n", "o", "m", "h", F.coalesce("component", "h").alias("label"))
     shard = F.when(F.col("n") > SHARD_ROWS, F.pmod("o", F.ceil(F.col("n") / SHARD_ROWS))).otherwise(F.lit(0))
     near = Window.partitionBy("key", "shard").orderBy("o", "h")
-    seen = labelled.withColumn("shard", shard).select("h", "label", *[F.struct(F.lag("h", k).over(near).alias("h"), F.lag("label", k).over(near).alias("label")).alias(f"p{k}") for k in range(1, LAG + 1)])
-    later = seen.select("h", "label", F.explode(F.array(*[f"p{k}" for k in range(1, LAG + 1)])).alias("p")).where("p.label <> label").select(F.col("h").alias("a"), F.col("p.h").alias("b"))
-    return components(first.unionByName(_similar(later, lines))).select(F.col("node").alias("h"), "component")
+    seen = labelled.withColumn("shard", shard).select("h", "label", "m", *[F.struct(*[F.lag(c, k).over(near).alias(c) for c in ("h", "label", "m")]).alias(f"p{k}") for k in range(1, LAG + 1)])
+    later = seen.select("h", "label", "m", F.explode(F.array(*[f"p{k}" for k in range(1, LAG + 1)])).alias("p")).where("p.label <> label")
+    shared = F.aggregate(F.zip_with("m", "p.m", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    later = later.where(shared >= LEAST_SHARED).select(F.col("h").alias("a"), F.col("p.h").alias("b"))
+    return components(first.unionByName(_similar(later, texts))).select(F.col("node").alias("h"), "component")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
