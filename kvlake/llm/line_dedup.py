@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, settle
+from .common import WORD, components, let, settle
 
 WIDTH = 12
 BANDS = 10
@@ -60,9 +60,11 @@ def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = settle(lines.select("h", "line").join(nodes, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # a set can only be that similar to one of near its size
-    near = F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * (SIMILARITY / 2)
-    sized = both.where(near).select("a", "b", F.transform(F.array(F.struct(_grams(F.col("x")).alias("p"), _grams(F.col("y")).alias("q"))), lambda g: F.struct(F.size(F.array_intersect(g["p"], g["q"])).alias("c"), (F.size(g["p"]) + F.size(g["q"])).alias("n")))[0].alias("s"))
+    # a set can only be that similar to one of near its size, and texts of any lengths can have equal sets
+    sets = F.struct(_grams(F.col("x")).alias("p"), _grams(F.col("y")).alias("q"))
+    near = lambda g: F.least(F.size(g["p"]), F.size(g["q"])) >= F.greatest(F.size(g["p"]), F.size(g["q"])) * SIMILARITY - 1e-6
+    measured = lambda g: F.when(near(g), F.struct(F.size(F.array_intersect(g["p"], g["q"])).alias("c"), (F.size(g["p"]) + F.size(g["q"])).alias("n")))
+    sized = both.select("a", "b", let(sets, measured).alias("s"))
     return sized.where(F.col("s.c") >= SIMILARITY * (F.col("s.n") - F.col("s.c"))).select("a", "b")
 
 

@@ -253,6 +253,21 @@ def test_line_dedup(docs):
     assert {r.doc_id for r in rest.collect()} == {i for i, t, *_ in ROWS if i is None or words(kept[i]) or not words(t)}
 
 
+def linked(spark, lines):
+    """The class of each line by the operator and by brute force."""
+    lines = sorted(set(lines))
+    rows = line_dedup.line_dedup(spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")).collect()
+    got = {r.line_no: r.class_line for r in rows}
+    sets = [grams(x) for x in lines]
+    of = classes(range(len(lines)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return [got[i] for i in range(len(lines))], of
+
+
+def test_similar_lines_of_very_different_lengths(spark):
+    got, of = linked(spark, ["ha " * 10, "ha " * 100, "-" * 20, "-" * 80, "Another line that is like none of these."])
+    assert got == of and len(set(of)) == 3
+
+
 # 6
 
 
