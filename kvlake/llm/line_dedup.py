@@ -1,12 +1,13 @@
 """Operator 5, fuzzy line dedup by MinHash. DataFrame functions only.
 
 1. Every line that has a word is one occurrence; equal lines share a 64-bit hash, which stands for them from here on.
-2. Signature: shingles of WIDTH characters that begin at a word (or at any character of scripts that don't part words),
-   lower-cased; SLOTS minima of their hashes, taken in the aggregation that also merges equal lines.
-3. BANDS keys of ROWS minima each; lines that share a key are candidates. A bucket gives a pair with its smallest line
-   for each member, and after the components of those, pairs with the LAG lines before it in a bucket order (sharded
-   where a bucket is large) between components that still differ. Both are linear in the bucket: no bucket is
-   capped and none is paired with itself.
+2. Signature: all shingles of GRAM characters, lower-cased, at every character whatever the script (those of step 4);
+   BANDS * ROWS minima of their hashes and a bitmap of them, taken in the aggregation that also merges equal lines.
+3. BANDS keys of ROWS minima each; lines that share a key are candidates. Members are compared with the bucket's
+   smallest line; where components still differ, with all members of other components in buckets of up to
+   PAIR_LIMIT lines, and by an exact prefix filter on the rarest shingles over all lines of larger ones. Pairs that
+   the bitmaps prove dissimilar go; no candidate is dropped otherwise. A pair at SIMILARITY shares no key, and is
+   missed, with probability (1 - SIMILARITY ** ROWS) ** BANDS.
 4. Verification: exact Jaccard of the lower-cased lines' sets of GRAM-character shingles, at least SIMILARITY.
 5. Components of the verified pairs; of each, the first line by (document, line number) stays.
 
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import WORD, components, let, settle
 
-WIDTH = 12
-BANDS = 10
-ROWS = 3
+BANDS = 14
+ROWS = 4
 GRAM = 5
 SIMILARITY = 0.8
-LAG = 4
-SHARD_ROWS = 512
-#: A shingle begins at a word or at a character of a script written without spaces (Thai, kana, Han, Hangul).
-SHINGLES = rf"(?s)(?:(?<!\S)|(?=[฀-๿぀-ヿ㐀-鿿가-힯]))(?=(\S.{{0,{WIDTH - 1}}}))"
+#: Largest bucket whose members of different components are paired with each other.
+PAIR_LIMIT = 256
+#: 64-bit words of the bitmap of a line's shingles.
+BITMAP = 4
+#: Shingles in a piece of a line.
+CHUNK = 64
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,14 +41,20 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(h, keys): the band keys of each different line."""
-    x = lines.select("h", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(SHINGLES), F.lit(1))).alias("s")).select("h", F.xxhash64("s").alias("x"))
-    halves = x.select("h", F.col("x").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("a"), F.shiftrightunsigned("x", 33).cast("int").alias("b"))
+    """(h, keys, bits, size): the band keys of each different line, a bitmap of its shingles and their number, repeats included."""
+    low = F.lower("line")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (GRAM - 1), F.lit(1)), F.lit(CHUNK))
+    # pieces first: finding a character costs its distance from the start
+    pieces = lines.select("h", F.length(low).alias("n"), F.explode(F.transform(starts, lambda i: F.substring(low, i, F.lit(CHUNK + GRAM - 1)))).alias("piece"))
+    at = pieces.select("h", "n", "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - (GRAM - 1), F.lit(1)))).alias("i"))
+    x = at.select("h", "n", F.xxhash64(F.substring("piece", F.col("i"), F.lit(GRAM))).alias("x"))
+    halves = x.select("h", "n", F.col("x").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("a"), F.shiftrightunsigned("x", 33).cast("int").alias("b"))
     # the nearest hash to a constant by exclusive or: another order of the hashes for each constant, so a minimum each
     constant = lambda j: (0x9E3779B97F4A7C15 * (j + 1) >> 13) & 0x7FFFFFFF
     minima = [F.min(F.col("ab"[j % 2]).bitwiseXOR(F.lit(constant(j)))).alias(f"m{j}") for j in range(BANDS * ROWS)]
+    bits = [F.bit_or(F.expr(f"if((a >> 6 & {BITMAP - 1}) = {k}, shiftleft(1L, a & 63), 0L)")).alias(f"b{k}") for k in range(BITMAP)]
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return halves.groupBy("h").agg(*minima).select("h", keys.alias("keys"))
+    return halves.groupBy("h").agg(*minima, *bits, F.max("n").alias("n")).select("h", keys.alias("keys"), *[f"b{k}" for k in range(BITMAP)], F.greatest(F.col("n") - (GRAM - 1), F.lit(1)).alias("size"))
 
 
 def _grams(line: Column) -> Column:
@@ -54,6 +62,12 @@ def _grams(line: Column) -> Column:
     return F.when(F.length(low) < GRAM, F.array(low)).otherwise(F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))))
 
 
+def _possible(a: str, b: str) -> Column:
+    """False only for pairs that can't be similar: sets with J >= SIMILARITY differ in at most (1 - J) / (1 + J) of the sum of their sizes, and in at least as many shingles as their bitmaps do in bits."""
+    differ = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(1, BITMAP)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+    return differ * (1 + SIMILARITY) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (1 - SIMILARITY) + 1e-6
+
+
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines have Jaccard similarity SIMILARITY at least."""
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
@@ -68,21 +82,46 @@ def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return sized.where(F.col("s.c") >= SIMILARITY * (F.col("s.n") - F.col("s.c"))).select("a", "b")
 
 
+def _rare_gram_pairs(large: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b): every pair of different labels that can be similar, by an exact prefix filter.
+
+    Similar sets of n and m shingles share one of the n - ceil(SIMILARITY n) + 1 first of each in any common order;
+    the order is rarest first, so few lines meet. Lines of equal sets have equal prefixes and meet as well.
+    """
+    facts = ["label", "size", *[f"b{k}" for k in range(BITMAP)]]
+    texts = lines.select("h", "line").join(large.select("h"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    grams = settle(texts.select("h", F.explode(F.transform(_grams(F.col("line")), lambda g: F.xxhash64(g))).alias("g")))
+    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    mine = Window.partitionBy("h")
+    ranked = grams.join(often, "g").select("h", "g", F.row_number().over(mine.orderBy("often", "g")).alias("nth"), F.count(F.lit(1)).over(mine).alias("n"))
+    prefix = settle(ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6) + 1).join(large.select("h", *facts), "h"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * SIMILARITY - 1e-6
+    return a.join(b, F.expr("a.g = b.g and a.label < b.label") & sizes & _possible("a", "b")).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
+
+
 def line_classes(lines: DataFrame) -> DataFrame:
     """(h, component): line hashes that are similar to another line, with their component."""
-    keys = settle(_signatures(lines))
-    rows = keys.select("h", F.posexplode("keys").alias("band", "key"), "keys")
+    facts = ["size", *[f"b{k}" for k in range(BITMAP)]]
+    signed = settle(_signatures(lines))
+    known = signed.select("h", *facts)
+    rows = signed.select("h", F.explode("keys").alias("key"))
     stats = settle(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"))
-    order = F.get("keys", F.pmod(F.col("band") + 1, F.lit(BANDS)))
-    members = settle(rows.select("h", "key", order.alias("o")).join(stats.where("n > 2").select("key", "lo", "n"), "key"))
-    first = _similar(stats.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(members.select(F.col("h").alias("a"), F.col("lo").alias("b"))), lines)
-    first = settle(first)
+    members = settle(rows.join(stats.drop("hi"), "key"))
+    # the bands of a pair mostly agree on it: bitmaps are fetched once a pair, not once a band
+    links = members.where("h <> lo").select("h", "lo").distinct().join(known, "h").select("lo", F.struct("h", *facts).alias("p"))
+    links = links.join(known.select(F.col("h").alias("lo"), F.struct("h", *facts).alias("q")), "lo").where(_possible("p", "q"))
+    first = settle(_similar(links.select(F.col("p.h").alias("a"), F.col("q.h").alias("b")), lines))
     labels = settle(components(first))
-    labelled = members.join(labels, F.col("h") == F.col("node"), "left").select("key", "n", "o", "h", F.coalesce("component", "h").alias("label"))
-    shard = F.when(F.col("n") > SHARD_ROWS, F.pmod("o", F.ceil(F.col("n") / SHARD_ROWS))).otherwise(F.lit(0))
-    near = Window.partitionBy("key", "shard").orderBy("o", "h")
-    seen = labelled.withColumn("shard", shard).select("h", "label", *[F.struct(F.lag("h", k).over(near).alias("h"), F.lag("label", k).over(near).alias("label")).alias(f"p{k}") for k in range(1, LAG + 1)])
-    later = seen.select("h", "label", F.explode(F.array(*[f"p{k}" for k in range(1, LAG + 1)])).alias("p")).where("p.label <> label").select(F.col("h").alias("a"), F.col("p.h").alias("b"))
+    # buckets of more than two in which several components meet
+    labelled = members.where("n > 2").join(labels, F.col("h") == F.col("node"), "left").select("key", "n", "h", F.coalesce("component", "h").alias("label"))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    left = settle(labelled.join(open_keys, "key", "left_semi"))
+    small = left.where(F.col("n") <= PAIR_LIMIT).drop("n").join(known, "h")
+    later = small.alias("a").join(small.alias("b"), F.expr("a.key = b.key and a.label < b.label") & _possible("a", "b")).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
+    large = settle(left.where(F.col("n") > PAIR_LIMIT).select("h", "label").distinct().join(known, "h"))
+    if not large.isEmpty():
+        later = later.unionByName(_rare_gram_pairs(large, lines))
     return components(first.unionByName(_similar(later, lines))).select(F.col("node").alias("h"), "component")
 
 

@@ -268,6 +268,19 @@ def test_similar_lines_of_very_different_lengths(spark):
     assert got == of and len(set(of)) == 3
 
 
+def test_large_buckets_of_lines_that_begin_alike(spark, monkeypatch):
+    """Long words and an unlisted unspaced script: one word-shingle each, the same for all; both ways of linking open buckets."""
+    rng = np.random.default_rng(5)
+    digits = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    urls = [f"https://www.example.com/{digits(70)}" for _ in range(150)]
+    khmer = ["\u1780\u1781\u1782\u1783\u1784\u1785\u1786\u1787\u1788\u1789\u178a\u178b" + "".join(chr(0x1780 + int(x)) for x in rng.integers(0, 32, 60)) for _ in range(50)]
+    lines = urls + khmer + [x[:-1] + "Z" for x in urls + khmer]
+    for limit in (256, 2):
+        monkeypatch.setattr(line_dedup, "PAIR_LIMIT", limit)
+        got, of = linked(spark, lines)
+        assert got == of and len(set(of)) == 200
+
+
 # 6
 
 
