@@ -160,10 +160,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest id; of repeated rows of it, one."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    stay = settle(found.groupBy(F.col("component_id").alias("__stay")).agg(F.count(F.lit(1)).alias("__times")))
-    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")))
-    order = Window.partitionBy(id_col).orderBy(F.length(text_col), F.xxhash64(text_col))
+    """The rows of docs that stay, exactly one of each component: the smallest id (null only where no row has one), of its rows the shortest text, then the smallest hash; of repeated rows, one.
+
+    Ids may be null or repeated: a row is known by its id and its text's hash.
+    """
+    text_hash = F.xxhash64(text_col)
+    each = settle(fingerprints(docs.withColumn("__t", text_hash), "__t", text_col).distinct())
+    fps = settle(each.select("fp").distinct())
+    of = fps.join(link(fps), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    texts = each.join(of, "fp").select(F.col("id").alias("t"), "component")
+    places = docs.select(F.col(id_col).alias("id"), text_hash.alias("t"), F.length(text_col).alias("chars")).groupBy("id", "t", "chars").agg(F.count(F.lit(1)).alias("times"))
+    # nulls are the smallest, so whether the id is one stands before it
+    least = F.min(F.struct(F.col("id").isNull(), "id", "chars", "t", "times")).alias("s")
+    stay = settle(places.join(texts, "t").groupBy("component").agg(least).select(F.col("s.id").alias("__id"), F.col("s.t").alias("__t"), F.col("s.times").alias("__times")))
+    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__t")))
+    order = Window.partitionBy("__id", "__t").orderBy(F.lit(1))
     again = rows.where("__times > 1").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
     return rows.where("__times = 1").select(docs.columns).unionByName(again.select(docs.columns))

@@ -454,6 +454,16 @@ def test_near_duplicates(docs):
     assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == sorted(set(least.values()))
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Distinct texts without ids, or of one id, all stay; a near copy under a repeated id doesn't come back."""
+    a, b, c, d = (text_of(s) for s in (11, 12, 13, 14))
+    near = next(x for w in prose(11, 120) if (x := a.replace(w, "zz", 1)) != a and 0 < (fingerprint(a) ^ fingerprint(x)).bit_count() <= 3)
+    rows = [(None, a), (None, b), (None, b), (1, c), (2, near), (2, d), (2, d), (3, c + " "), (4, a)]
+    got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None)
+    none = [r.text for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is None]
+    assert none == [b] and got == sorted([(1, c), (2, near), (2, d)])
+
+
 @pytest.mark.parametrize("limit", [2, 256])
 def test_links_of_dense_and_sparse_fingerprints(spark, monkeypatch, limit):
     """All ways that buckets are linked, with pairs allowed in most buckets or in hardly any."""
