@@ -69,20 +69,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     longest chain. A hub is a skewed join key, which adaptive execution splits; mins are combined before shuffling.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    e, before = settle(e), None
-    if e.isEmpty():
+    state = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    e = settle(e)
+    before = state(e)
+    if not before[0]:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
         # large star
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         m = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        big = both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        big = both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star
         m = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(m, "a")
         e = settle(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(m.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if (now := state(e)) == before:
             break
         before = now
     else:

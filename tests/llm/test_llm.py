@@ -281,6 +281,75 @@ def test_large_buckets_of_lines_that_begin_alike(spark, monkeypatch):
         assert got == of and len(set(of)) == 200
 
 
+def edited(rng, words, kind):
+    a = " ".join(words)
+    if kind == 0:
+        i = int(rng.integers(0, len(a)))
+        return a, a[:i] + "q" + a[i + 1 :]
+    if kind == 1:
+        return a, a + "!"
+    b = a
+    for _ in range(max(1, len(a) // 55)):
+        i = int(rng.integers(0, len(b)))
+        b = b[:i] + b[i + 1 :]
+    return a, b
+
+
+@pytest.mark.parametrize("n", [3, 4, 6, 8, 20, 60])
+def test_recall_of_bands_by_line_length(n):
+    """Of pairs at 0.8 or more at least 0.95 share a band and agree in enough minima, however short the lines are."""
+    rng, vocabulary, some = np.random.default_rng(n), prose(21, 4000), []
+    while len(some) < 600:
+        a, b = edited(rng, [vocabulary[i] for i in rng.integers(0, len(vocabulary), n)], int(rng.integers(0, 3)))
+        if a != b and len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)):
+            some.append((a, b))
+    lanes = lambda x: line_dedup.signatures(x).view(np.uint64)[:, :, None] >> (np.arange(4, dtype=np.uint64) * np.uint64(16)) & np.uint64(0xFFFF)
+    same = lanes([a for a, _ in some]) == lanes([b for _, b in some])
+    found = np.any([same[:, range(5), band].all(axis=1) for band in line_dedup.BANDS], axis=0) & (same.sum(axis=(1, 2)) >= line_dedup.AGREE)
+    assert found.mean() >= 0.95
+
+
+def test_signatures_are_the_minima_of_all_shingles(monkeypatch):
+    lines = ["a", "abcd", "Abcde", "-" * 30, "ha " * 100, "é" * 3, "日本語テキストです", "x" * 700 + "y", *prose(3, 5), " ".join(prose(4, 300))]
+    want = line_dedup.signatures(lines)
+    for k, line in enumerate(lines):
+        low = line.lower()
+        x = line_dedup._hashes(np.frombuffer((low + "\0" * 5).encode("utf-32-le"), "<u4"))[: max(1, len(low) - 4)].tolist()
+        for i in range(5):
+            at = int(line_dedup._ORDERS[i])
+            minima = [min(((v >> 62) ^ t) << 62 | (v * at % (1 << 64)) >> 2 for v in x) & 0xFFFF for t in range(4)]
+            assert int(want[k, i]) % (1 << 64) == sum(m << 16 * t for t, m in enumerate(minima))
+    monkeypatch.setattr(line_dedup, "CHUNK", 16)
+    assert (line_dedup.signatures(lines) == want).all() and line_dedup.signatures([]).shape == (0, 5)
+    assert all(len({*map(tuple, (zip(range(5), a, strict=True)))} & {*zip(range(5), b, strict=True)}) <= 1 for i, a in enumerate(line_dedup.BANDS) for b in line_dedup.BANDS[:i])
+
+
+def test_similar_is_exact(monkeypatch):
+    rng, vocabulary = np.random.default_rng(8), prose(22, 400)
+    some = [edited(rng, [vocabulary[i] for i in rng.integers(0, 400, n)], k % 3) for k, n in enumerate([1, 2, 3, 5, 9, 30] * 20)] + [("a", "A"), ("a", "b"), ("ab", "abc"), ("ha " * 9, "ha " * 50)]
+    want = [len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for a, b in some]
+    lines, at = [x for p in some for x in p], np.arange(0, 2 * len(some), 2)
+    assert line_dedup.similar_pairs(lines, at, at + 1).tolist() == want and 0 < sum(want) < len(want)
+    monkeypatch.setattr(line_dedup, "CHARS", 50)
+    assert line_dedup.similar_pairs(lines, at, at + 1).tolist() == want
+    # more different characters than fit into packed shingles
+    wide = "".join(chr(0x4E00 + i) for i in range(9000))
+    assert line_dedup.similar_pairs([wide, wide[:-900] + "x", wide[:4500]], np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
+    monkeypatch.setattr(line_dedup, "CHARS", 1 << 20)
+    assert line_dedup.similar_pairs([wide, wide[:-900] + "x", wide[:4500]], np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
+
+
+def test_lines_of_null_ids_and_clashing_columns(spark):
+    rows = [(None, "One long line that is the same.", 1, "x"), (3, "One long line that is the same!\nanother", 2, "y"), (3, "third of the same id, other text", 3, "z"), (3, "third of the same id, other text", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, line string")
+    got = line_dedup.line_dedup(docs).collect()
+    assert sorted(((r.doc_id is not None, r.line_no, r.class_id, r.class_line, r.n_class, r.kept) for r in got), key=repr) == sorted(
+        [(False, 0, None, 0, 2, True), (True, 0, None, 0, 2, False), (True, 1, 3, 1, 1, True), (True, 0, 3, 0, 2, True), (True, 0, 3, 0, 2, True)], key=repr
+    )
+    rest = line_dedup.deduplicated(docs)
+    assert rest.columns == docs.columns and sorted(r.text for r in rest.collect()) == ["One long line that is the same.", "another", rows[2][1], rows[2][1]]
+
+
 # 6
 
 
