@@ -4,7 +4,8 @@ Relationally: a table of n-gram counts partitioned by hash, joined to the docume
 document. Both sides of that join hold nearly as many rows as the corpus has words, so they travel packed:
 
 1. documents are dealt by hash into batches of about BATCH_BYTES; a batch explodes its n-grams and counts the
-   different ones once (the pre-aggregation), as sorted HASH_BITS-bit hashes;
+   different ones once (the pre-aggregation), as sorted hashes. Their width follows the corpus, so that about one n-gram
+   in 2 ** SPARE_BITS shares its hash with another at any size (up to 2 ** 40 n-grams, where 64 bits are reached);
 2. a batch sends each range of hashes one row (sorted, delta-coded, compressed); a range adds up the counts of all
    batches, which is the count table's partition, and sends each batch the totals of its n-grams in the same order;
 3. batches meet their totals, every word's score is looked up by binary search, and a document's are summed.
@@ -14,7 +15,9 @@ whose numbers follow the corpus. Free style: grouped Arrow functions over numpy.
 
 S(w | h) = c(h w) / c(h) if c(h w) >= MIN_COUNT, else ALPHA S(w | h'), h' being h without its first word; S(w) = c(w) / N.
 MIN_COUNT is 2 as each document's own mention is among the counts. Defined results: a document without words (null text,
-white space) scores 0 over 0 words; repeated rows count and score as documents of their own; an empty table gives no rows.
+white space) scores 0 over 0 words; repeated rows count and score as documents of their own; null ids are ids like any other;
+a very long document is a batch of its own, in memory in proportion to it; only the id and text columns are read, whatever
+else is there; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from .tokens import Memo
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-HASH_BITS = 48
+#: Bits of a hash at least, and beyond the logarithm of the number of n-grams.
+LEAST_BITS, SPARE_BITS = 48, 24
 #: Bytes of text in a batch, and n-grams that a range of hashes takes from all batches, about.
 BATCH_BYTES = 12 << 20
 RANGE_NGRAMS = 4 << 20
@@ -53,7 +57,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _ngrams(words: np.ndarray, lengths: np.ndarray, order: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For n = 1..order: hashes of the n-grams that end at each word, and whether they lie within a document."""
     within = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     h = np.zeros(len(words), np.uint64)
@@ -61,7 +65,7 @@ def _ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tupl
         # the n-1 words before extend the hash to the left
         back = np.concatenate((np.zeros(min(n - 1, len(words)), np.uint64), words[: len(words) - n + 1])) if n > 1 else words
         h = _mix(h * np.uint64(3) + back + np.uint64(n))
-        yield h >> np.uint64(64 - HASH_BITS), within >= n - 1
+        yield h >> np.uint64(64 - width), within >= n - 1
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -84,15 +88,16 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
     size, words = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.sum(n_words(F.col(text_col)))).first()
     batches = max(1, -(-size // BATCH_BYTES))
     bits = max(0, int(np.ceil(np.log2(max(1, order * size / 6 / RANGE_NGRAMS)))))
+    width = min(64, max(LEAST_BITS, int(order * (words or 0)).bit_length() + SPARE_BITS))
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).cast("int").alias("batch"))
     id_type = one.schema["id"].dataType.simpleString()
 
     def ask(table: pa.Table) -> pa.Table:
         words, lengths = _prepared(table)
         rows = []
-        for n, (h, ok) in enumerate(_ngrams(words, lengths, order), 1):
+        for n, (h, ok) in enumerate(_ngrams(words, lengths, order, width), 1):
             values, counts = np.unique(h[ok], return_counts=True)
-            cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
+            cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits))
             for part, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts), strict=True)):
                 if len(v):
                     rows.append((part, n, int(table.column("batch")[0].as_py()), len(v), int(c.sum()), _pack(np.diff(v, prepend=np.uint64(0))), _pack(c)))
@@ -114,7 +119,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
         words, lengths = _prepared(table)
         answers = sorted(told.to_pylist(), key=lambda r: (r["order"], r["part"]))
         found = []
-        for n, (h, ok) in enumerate(_ngrams(words, lengths, order), 1):
+        for n, (h, ok) in enumerate(_ngrams(words, lengths, order, width), 1):
             totals = [_unpack(r["counts"], r["n"]) for r in answers if r["order"] == n]
             values, at = np.unique(h[ok], return_inverse=True)
             assert len(values) == sum(map(len, totals))
