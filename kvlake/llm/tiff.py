@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BATCH_BYTES, by_bytes
+
 #: Tags and codes of the format. Fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
@@ -27,6 +29,8 @@ ROW = 64
 PAGE_ROWS = 4096
 STRIP_ROWS = 256
 TILE = (64, 64)
+#: Samples of a page at most; a directory that claims more is taken for damaged.
+MAX_SAMPLES = 1 << 30
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -193,7 +197,7 @@ def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
 def decode(data: bytes) -> Iterator[tuple[dict[int, tuple], np.ndarray]]:
     """The pages of a TIFF file: its tags and an array (height, width, samples) of 8-bit samples."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+    if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at and at not in seen:
@@ -209,6 +213,8 @@ def decode(data: bytes) -> Iterator[tuple[dict[int, tuple], np.ndarray]]:
         width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
         if set(tags.get(BITS, (1,))) != {8} or one(284, 1) != 1:
             raise ValueError("only chunky 8-bit samples are supported")
+        if width * height * samples > MAX_SAMPLES:
+            raise ValueError(f"a page of {width} x {height} x {samples} samples")
         tiled = TILE_OFFSETS in tags
         bw, bh = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
         places = zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)
@@ -226,24 +232,50 @@ def decode(data: bytes) -> Iterator[tuple[dict[int, tuple], np.ndarray]]:
 
 
 def pages(files: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """(kept columns, page, width, height, samples, compression, predictor, pixels): one row for each page, a file's in order.
+    """(kept columns, page, width, height, samples, compression, predictor, pixels, error): one row for each page, a file's in order.
 
-    Null media give no rows; an empty table gives none. A file that isn't a TIFF of 8-bit samples raises ValueError.
+    Null media give no rows; an empty table gives none; repeated rows give repeated pages. Where a file stops being a TIFF of
+    8-bit samples (damaged, cut off, absurdly large, another format), one row with error instead of pixels ends it. A
+    kept column named like one of a page is called file_ and its name. A page is in memory as a whole.
     """
     keep = keep or []
-    names = [*keep, "page", "width", "height", "samples", "compression", "predictor", "pixels"]
+    fields = {"page": "int", "width": "int", "height": "int", "samples": "int", "compression": "int", "predictor": "int", "pixels": "binary", "error": "string"}
+    kept = [f"file_{c}" if c in fields else c for c in keep]
+    types = [pa.int32()] * 6 + [pa.binary(), pa.string()]
+
+    def each(data: bytes) -> Iterator[tuple]:
+        k = 0
+        try:
+            for k, (tags, image) in enumerate(decode(data)):
+                h, w, s = image.shape
+                yield k, w, h, s, tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0], image.tobytes(), None
+                k += 1
+        except (ValueError, LookupError, ArithmeticError, struct.error, zlib.error, MemoryError) as e:
+            yield k, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            of, rows, held = [], [], 0
+
+            def made(of=of, rows=rows, b=b) -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())
+                return pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(len(keep))), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], [*kept, *fields])
+
             for i in range(b.num_rows):
                 data = b.column(len(keep))[i].as_py()
-                for k, (tags, image) in enumerate(decode(data) if data is not None else ()):
-                    h, w, s = image.shape
-                    facts = [pa.array([x], pa.int32()) for x in (k, w, h, s, tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0])]
-                    yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1) for j in range(len(keep))), *facts, pa.array([image.tobytes()], pa.binary())], names)
+                for row in each(data) if data is not None else ():
+                    of.append(i)
+                    rows.append(row)
+                    held += len(row[6] or b"")
+                    if held > BATCH_BYTES:
+                        yield made()
+                        of.clear(), rows.clear()
+                        held = 0
+            if rows:
+                yield made()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(keep).schema)
-    return files.select(*keep, media_col).mapInArrow(walk, schema + ", " * bool(keep) + "page int, width int, height int, samples int, compression int, predictor int, pixels binary")
+    schema = [f"`{name}` {f.dataType.simpleString()}" for name, f in zip(kept, files.select(keep).schema, strict=True)] + [f"{name} {kind}" for name, kind in fields.items()]
+    return files.select(*keep, media_col).mapInArrow(walk, ", ".join(schema))
 
 
 #: How a payload is stored, by its CRC: compression, predictor, tile. Equal payloads are stored alike.
@@ -261,21 +293,24 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, n_bytes, media): each text as UTF-8 (null: empty), padded with zero bytes to a positive multiple of ROW, in a TIFF file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, text in enumerate(b.column(1)):
-                raw = (text.as_py() or "").encode()
-                media = store(raw + b"\0" * (-len(raw) % ROW or ROW * (not raw)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([media], pa.binary())], ["id", "n_bytes", "media"])
+        for b in by_bytes(batches, 1):
+            raw = [(t or "").encode() for t in b.column(1).to_pylist()]
+            media = [store(r + b"\0" * (-len(r) % ROW or ROW * (not r))) for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return one.mapInArrow(write, f"id {one.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def digest(found: DataFrame, keep: list[str]) -> DataFrame:
-    """(kept columns, payload_bytes, payload_sha256, tail_crc32, feature): a row for each file, from its rows of pages, which must follow each other."""
+    """(kept columns, payload_bytes, payload_sha256, tail_crc32, feature): a row for each file, from its rows of pages, which must follow each other; nulls where a page is an error."""
     names = [*keep, "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
 
-    def one(head: list, parts: list[bytes], rows: int) -> pa.RecordBatch:
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+
+    def one(head: list, parts: list[bytes | None], rows: int) -> pa.RecordBatch:
+        if None in parts:
+            return pa.RecordBatch.from_arrays([*head, *(pa.nulls(1, t) for t in types)], names)
         payload = b"".join(parts)
         a = np.frombuffer(payload, np.uint8)
         feature = f"pages={len(parts)} rows={rows} mean={a.mean():.4f} deviation={a.std():.4f} values={len(np.flatnonzero(np.bincount(a, minlength=256)))}"
@@ -284,14 +319,17 @@ def digest(found: DataFrame, keep: list[str]) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parts, rows = None, [], 0
         for b in batches:
+            out = []
             for i in range(b.num_rows):
                 page, height, pixels = (b.column(len(keep) + k)[i].as_py() for k in range(3))
                 if page == 0:
                     if head:
-                        yield one(head, parts, rows)
+                        out.append(one(head, parts, rows))
                     head, parts, rows = [b.column(j).slice(i, 1) for j in range(len(keep))], [], 0
                 parts.append(pixels)
-                rows += height
+                rows += height or 0
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
         if head:
             yield one(head, parts, rows)
 
