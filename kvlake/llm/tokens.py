@@ -1,8 +1,8 @@
 """Operator 3, token counts, and the token ids operator 1 packs. Free style: Arrow batches through the tokenizer libraries.
 
 A text is cut at boundaries that no token crosses (so the pieces' tokens are the text's tokens) and each distinct
-piece is encoded once and remembered. Invented or natural, words repeat; the memory is bounded (CACHE pieces, two
-generations) and never changes a result.
+piece is encoded once and remembered. Invented or natural, words repeat; the memory is bounded (CACHE pieces of at most
+LONGEST characters or bytes, two generations) and never changes a result.
 
 - word_bpe_49k drops white space before merging: ASCII white space is a safe boundary.
 - byte_bpe_50k joins one space to the word after it: the place before a single space between two characters that
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes
 
 CACHE = 400_000
+#: Longer pieces (unspaced scripts, addresses, encoded data) seldom repeat and are not remembered.
+LONGEST = 64
 
 #: Pieces of these characters lower, normalise and split alike in both libraries.
 PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-įĲ-ňŊ-ſ]*")
@@ -36,13 +38,15 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Memo(dict):
-    """Remembers make(key); holds at most two generations of size entries."""
+    """Remembers make(key); holds at most two generations of size entries, and no text longer than LONGEST."""
 
     def __init__(self, make, size: int = CACHE):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
+        if isinstance(key, str | bytes) and len(key) > LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -177,7 +181,8 @@ def byte_tokenizer(path: str, ranks_path: str) -> ByteTokenizer:
 def token_counts(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit): one row for each row of docs, lengths only.
 
-    Null text counts as empty: no bytes, no tokens. An empty table gives no rows. Nothing is shuffled: scans are cut by
+    Null text counts as empty: no bytes, no tokens. Repeated rows give repeated rows, null ids are kept, other columns are
+    ignored whatever their names. An empty table gives no rows. Nothing is shuffled: scans are cut by
     bytes, so are the slices of an Arrow batch, and long texts are encoded piece by piece.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
