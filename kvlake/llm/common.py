@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,25 +39,59 @@ def total(values: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and Spark runs on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kvlake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+_settled: list[str] = []
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _at_exit(spark: SparkSession, _settled=_settled) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+        _remove(spark, _settled)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """The rows written once as a table in the shared folder and read back: lineage ends here, lost executors lose nothing."""
+    """The rows written once as a table in the shared folder and read back: lineage ends here, lost executors lose nothing.
+
+    Such tables go when the process ends, or earlier by :func:`tables_released`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kvlake-{uuid.uuid4().hex}"
+    if not _settled:
+        atexit.register(_at_exit, spark)
+    _settled.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tables_released(spark: SparkSession) -> Iterator[None]:
+    """Settled tables of the body go at its end; results that read them must be written by then."""
+    n = len(_settled)
+    try:
+        yield
+    finally:
+        gone = _settled[n:]
+        del _settled[n:]
+        _remove(spark, gone)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 

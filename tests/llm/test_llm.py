@@ -184,6 +184,26 @@ def test_memo_is_bounded():
     made = []
     m = tokens.Memo(lambda k: made.append(k) or k * 2, 3)
     assert [m[k] for k in (1, 2, 3, 4, 1, 5, 6, 1)] == [2, 4, 6, 8, 2, 10, 12, 2] and len(m) <= 3 and len(m.old) <= 3
+    texts = tokens.Memo(len)
+    assert texts["a" * 64] == 64 and texts["a" * 65] == 65 and list(texts) == ["a" * 64]
+
+
+def test_texts_past_a_batch_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (1, 50, 3, 0, 200, 7, 7, 7)] + [None]
+    parts = list(common.by_bytes([pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["i", "t"])], 1, 20))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and max(p.num_rows for p in parts) < 6 and len(parts) > 3
+
+
+def test_settled_tables_are_released(spark):
+    import os
+
+    with common.tables_released(spark):
+        df = common.settle(spark.range(3))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
 
 
 # 4
@@ -399,6 +419,24 @@ def test_media_query(spark, docs, tmp_path, monkeypatch):
     assert tiff.digest(tiff.pages(one, "media", ["doc_id"]), ["doc_id"]).first()["payload_bytes"] == 640
 
 
+def test_damaged_media_end_in_an_error_row(spark):
+    good = tiff.encode([np.arange(64 * 8, dtype=np.uint8).reshape(8, 64)] * 2)
+    wide = tiff.encode([np.zeros((4, 4), np.uint8)])
+    wide = wide.replace(tiff.struct.pack("<HHII", tiff.WIDTH, 4, 1, 4), tiff.struct.pack("<HHII", tiff.WIDTH, 4, 1, 1 << 31))
+    bits = tiff.encode([np.zeros((4, 4), np.uint8)]).replace(tiff.struct.pack("<HHI", tiff.BITS, 3, 1) + b"\x08", tiff.struct.pack("<HHI", tiff.BITS, 3, 1) + b"\x10")
+    rows = [(0, good), (1, b""), (2, b"II*\0"), (3, b"GIF89a" + b"\0" * 20), (4, good[: len(good) // 2]), (5, wide), (6, bits), (7, None), (8, good), (8, good)]
+    files = spark.createDataFrame([(i, None if m is None else bytearray(m), "x") for i, m in rows], "page long, media binary, error string")
+    got = tiff.pages(files, "media", ["page", "error"]).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.file_page].append((r.page, r.error is None, r.pixels is None))
+        assert r.file_error == "x"
+    assert sorted(by) == [0, 1, 2, 3, 4, 5, 6, 8] and by[0] == [(0, True, False), (1, True, False)] and len(by[8]) == 4
+    assert all(by[i][-1][1:] == (False, True) for i in range(1, 7))
+    sums = {r.k: r.payload_sha256 for r in tiff.digest(tiff.pages(files.withColumnRenamed("page", "k"), "media", ["k"]), ["k"]).collect()}
+    assert sums[0] == sums[8] and sums[0] is not None and sums[1] is None and 7 not in sums
+
+
 # 7
 
 PRIVATE = [
