@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last keep the columns of documents.
+
+Defined results, for every stage: a null text has no words, so quality rules reject it; null ids are ids like any other,
+as are repeated ones; repeated rows count as copies, of which one stays; very long texts pass whole; columns beside
+those of documents are kept by all stages but the last and read by none; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kvlake.llm import line_dedup, mixing, packing, quality_rules, simhash
-from kvlake.llm.common import shared_dir
+from kvlake.llm.common import shared_dir, tables_released
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packing of documents after all stages, each read back from the shared folder before the next begins."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/kvlake-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with tables_released(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
