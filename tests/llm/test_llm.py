@@ -488,6 +488,39 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert real is not surrogates.surrogate
 
 
+NAMED = [
+    "Priya Raman, Mohammed Ali, Wei Zhang, Katarzyna Nowak and Γιώργος Παπαδόπουλος met ANNA SCHMIDT. Later Ms Schmidt said that Anna was out.",
+    "Anna Maria Schmidt wrote to Dr. Van Der Berg. Schmidt then rang. My name is Zoltan Kovacs; Kovacs paid. Jan van der Meer and Jennifer Brown left.",
+    "Меня зовут Пётр Ильин. Ильин ушёл.", "Clean prose without any of them, The End.", "Schmidt alone is a word here.",
+]
+NAME_WORDS = [{"Priya", "Raman", "Mohammed", "Ali", "Wei", "Zhang", "Katarzyna", "Nowak", "Γιώργος", "Παπαδόπουλος", "ANNA", "SCHMIDT", "Schmidt", "Anna"}, {"Anna", "Maria", "Schmidt", "Van", "Der", "Berg", "Zoltan", "Kovacs", "Jan", "Meer", "Jennifer", "Brown"}, {"Пётр", "Ильин"}, set(), set()]
+
+
+def test_names_in_context_and_their_later_mentions(spark):
+    """Against brute force: of each text exactly the words of its names are replaced, one word always by the same, different ones by different ones."""
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string")).collect()}
+    split, same = re.compile(r"[^\w'’-]+"), {}
+    for i, (text, names) in enumerate(zip(NAMED, NAME_WORDS, strict=True)):
+        old, new = split.split(text), split.split(got[i].text)
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            assert (a != b) == (a in names), (a, b)
+            if a != b:
+                assert a.isupper() == b.isupper() and same.setdefault(a.lower(), b.lower()) == b.lower()
+    assert len(set(same.values())) == len(same)
+    assert surrogates.replace(spark.createDataFrame([(1, NAMED[3])], "doc_id long, text string")).first().n_entities == 0
+
+
+def test_names_never_run_out(spark, monkeypatch):
+    """Far more surnames than there are to draw from at first, and given names of one pair."""
+    monkeypatch.setattr(surrogates, "SYLLABLES", {k: v[:1] for k, v in surrogates.SYLLABLES.items()})
+    monkeypatch.setattr(surrogates, "GIVEN", {("latin", "f"): ("Anna",), ("latin", "m"): ("Peter",)})
+    names = ["".join(chr(97 + int(c)) for c in f"{i:04d}").capitalize() for i in range(2000)]
+    rows = [(i, f"Emma {n} and {n}.") for i, n in enumerate(names)]
+    got = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.surrogates[0].split()[1] == r.surrogates[1] for r in got) and len({r.surrogates[1] for r in got}) == 2000 and len({r.surrogates[0].split()[0] for r in got}) == 1
+
+
 # 8
 
 
