@@ -40,13 +40,15 @@ TAGS = 4
 AGREE = 10
 #: Characters that are signed at once, about.
 CHUNK = 1 << 17
+#: Bytes of text that a task takes at once.
+TEXT_BYTES = 2 << 20
 #: Lines whose hashes may be broadcast to fetch their texts (8 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: Members of a bucket that are compared at once; a larger bucket is dealt out as all pairs of such parts.
 PAIR_LIMIT = 1024
 #: Pairs of lines, and characters of lines, that are compared at once.
-PAIRS = 1 << 21
-CHARS = 1 << 20
+PAIRS = 1 << 18
+CHARS = 1 << 18
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ORDERS = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -130,7 +132,7 @@ def _words(minima: np.ndarray) -> np.ndarray:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in by_bytes(batches, 2):
+    for b in by_bytes(batches, 2, TEXT_BYTES):
         rows, places, lines = [], [], []
         for k, text in enumerate(b.column(2).to_pylist()):
             for n, line in enumerate((text or "").split("\n")):
@@ -245,8 +247,8 @@ def _compared(lines: list[str], u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in by_bytes(batches, 2):
-        for part in by_bytes([b], 3):
+    for b in by_bytes(batches, 2, TEXT_BYTES):
+        for part in by_bytes([b], 3, TEXT_BYTES):
             n = part.num_rows
             hits = similar_pairs(part.column(2).to_pylist() + part.column(3).to_pylist(), np.arange(n), np.arange(n, 2 * n))
             yield part.select([0, 1]).filter(pa.array(hits))
@@ -259,9 +261,8 @@ def _fetched(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return settle(lines.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "h", "left_semi").distinct())
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines are similar."""
-    texts = _fetched(pairs.select(F.explode(F.array("a", "b")).alias("h")), docs, text_col)
     both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
@@ -277,7 +278,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows.num_rows > 1:
             yield from _links(rows)
 
-    for b in by_bytes(batches, 11):
+    for b in by_bytes(batches, 11, TEXT_BYTES):
         rows = pa.Table.from_batches([*held, b])
         group = np.stack([rows.column(c).to_numpy() for c in _GROUP])
         new = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
@@ -318,9 +319,9 @@ def _links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(column["label"][x[hits]]) for x in (a, b)], ["a", "b"])
 
 
-def line_classes(marked: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(h, component): line hashes that are similar to another line, with their component."""
-    signed = settle(marked.groupBy("h").agg(*[F.first(w).alias(w) for w in _WORDS]))
+def line_classes(signed: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, component): line hashes that are similar to another line, with their component; signed has (h, s0, ...)."""
+    signed = signed.select("h", *_WORDS)
     rows = signed.mapInArrow(_banded, "h long, key long, band int")
     stats = rows.groupBy("key").agg(F.min("h").alias("lo"), F.bit_xor("h").alias("x"), F.count(F.lit(1)).alias("n"))
     stats = settle(stats.where("n > 1"))
@@ -331,13 +332,14 @@ def line_classes(marked: DataFrame, docs: DataFrame, text_col: str = "text") ->
     ends = lambda pairs, k: pairs.join(signed.select(F.col("h").alias(k), F.struct(*_WORDS).alias(f"s{k}")), k)
     links = members.where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b"))
     links = settle(ends(ends(twos.unionByName(links).distinct(), "b"), "a").where(_agree("sa", "sb")).select("a", "b"))
-    labels = settle(components(_similar(links, docs, text_col)))
+    texts = _fetched(links.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")), docs, text_col)
+    labels = settle(components(_similar(links, texts)))
     # buckets of more than two in which several components meet
     labelled = members.drop("lo").join(labels, F.col("h") == F.col("node"), "left").withColumn("label", F.coalesce("component", "h")).drop("node", "component")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
     left = settle(labelled.join(open_keys, "key", "left_semi"))
     parts = F.ceil(F.col("n") / PAIR_LIMIT).cast("int")
-    left = left.join(signed, "h").join(_fetched(left.select("h"), docs, text_col), "h").withColumn("part", F.pmod(F.xxhash64("h"), parts).cast("int"))
+    left = left.join(signed, "h").join(texts, "h").withColumn("part", F.pmod(F.xxhash64("h"), parts).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))
     left = left.select("key", "part", "band", "label", "h", *_WORDS, "line", F.inline(meets)).select(*_GROUP, "part", "label", *_WORDS, "h", "line", "band")
     merged = settle(components(left.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_across, "a long, b long")))
@@ -353,8 +355,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     class_id and class_line name the first line of its class, which is the one kept; n_class counts the class's lines.
     """
     marked = settle(marked_lines(docs, id_col, text_col))
-    classes = line_classes(marked, docs, text_col)
-    counts = marked.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).join(classes, "h", "left")
+    signed = settle(marked.groupBy("h", "c").agg(*[F.first(w).alias(w) for w in _WORDS], F.count(F.lit(1)).alias("n")))
+    counts = signed.select("h", "c", "n").join(line_classes(signed, docs, text_col), "h", "left")
     # of a class in which more than one line stands: most lines are alone
     busy = settle(counts.where("n > 1 or component is not null").select("h", "c", F.coalesce("component", "h").alias("component"), F.when(F.col("component").isNull(), F.col("c")).alias("only")))
     places = marked.select("id", "t", "line_no", "h", "c").join(busy, ["h", "c"], "left").drop("h", "c")
