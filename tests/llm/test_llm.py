@@ -158,6 +158,41 @@ def test_mixing(docs, monkeypatch):
     assert +real == +taken
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 20_000])
+def test_mixing_cuts_among_many_equal_rows(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    made = [(i, "a b c", "x") for i in [None] * 40 + [7] * 30] + [(None, f"w{i} and more", "x") for i in range(5)]
+    made += [(i, "word " * (i % 7), "y") for i in range(90)] + [(i, "lone words", None) for i in range(3)]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(6)
+    sizes = Counter()
+    for _, t, s in made:
+        sizes[s] += len(words(t))
+    want, taken, real = targets(sizes), Counter(), Counter()
+    got = mixing.mix(table).collect()
+    assert len(got) == len(made)
+    size_of = {sizes[s]: s for s in sizes}
+    partial = Counter()
+    for r in got:
+        s = size_of[r.source_size]
+        taken[s] += r.taken
+        partial[s] += r.size > 0 and r.taken % r.size > 0
+        assert r.taken <= 3 * r.size
+    assert all(taken[s] == math.floor(want[s] + 0.5) and partial[s] <= 1 for s in want)
+    rows = mixing.mixed_documents(table).collect()
+    for r in rows:
+        real[r.source] += len(words(r.text))
+    assert +real == +taken
+    # two copies of one document differ by one epoch at most
+    copies = [r.taken for r in got if r.doc_id == 7 and r.source_size == sizes["x"]]
+    assert max(copies) - min(copies) <= 3
+
+
+def test_documents_stay_where_they_are_read_in_the_mix(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "d"))
+    plan = mixing.mixed_documents(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Window" not in plan
+
+
 # 3
 
 
