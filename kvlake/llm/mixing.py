@@ -3,11 +3,12 @@
 Sources (a few rows after one aggregation) get weights 5, 2, 1 in turn by code point, null last. Targets share the
 sum of all sizes by weight and stop at MAX_REPEATS times their source's size; the level at which the rest is shared
 follows in closed form from prefix sums over the sources. Documents are ordered by a hash of id and text; equal ranges
-of hashes make a source's buckets, so a source with a third of all rows is many tasks. Prefix sums of the buckets' words (a
-small table) show the bucket in which a source's budget ends; only there are documents sorted and summed one by one, as
-buckets below are taken whole and those above not at all. Whole epochs come first; the rest of the budget takes documents
-in hash order and the last one in part, so a source's taken words are its target, rounded. What comes out is one row for each source,
-joined to the documents (broadcast by Spark where the table is small), which don't move.
+of hashes make a source's buckets. Prefix sums of the buckets' words show the bucket in which a source's budget ends; it is divided
+into buckets in the same way until it is small, so no window has more rows of a source than a level has buckets, however many
+documents there are. Only in the last bucket are documents sorted and summed one by one, as those below are taken whole and
+those above not at all. Whole epochs come first; the rest of the budget takes documents in hash order and the last one in
+part, so a source's taken words are its target, rounded. What comes out is one row for each source, joined to the documents
+(broadcast by Spark where that table is small), which don't move.
 
 Defined results: null or blank text has size 0 and takes nothing; a source without words has target 0; repeated rows count as
 documents of their own, whatever their number (they are numbered in parts where the cut falls among them); very long texts
@@ -25,8 +26,10 @@ from .common import WORD, settle, words_of
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 20240607
-#: Documents in a bucket, about, were all of one source.
-BUCKET_ROWS = 20_000
+#: Bits of the order that a level of buckets goes by: a source has 1,024 buckets, and so has each bucket that is divided.
+BITS = 10
+#: Documents in a bucket of the last level at most, about.
+BUCKET_ROWS = 1024
 
 
 def _key() -> Column:
@@ -63,24 +66,31 @@ def _cuts(rows: DataFrame, n_rows: int) -> DataFrame:
     cut is the place in the order at which it ends, null where nothing is left; of the n rows that are equal there, the
     first copies are taken whole and the next one's first words in part.
     """
-    buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    bucket = F.shiftright(F.shiftright(_key(), 32) * buckets, 31).cast("int")  # the upper 31 of a key's 63 bits
-    keyed = rows.withColumn("__bucket", bucket)
-    sums = settle(keyed.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum")))
+    levels = 1
+    while n_rows > BUCKET_ROWS << BITS * levels and BITS * (levels + 1) < 63:
+        levels += 1
+    bucket = lambda level: F.shiftright(_key(), 63 - BITS * level)
+    sums = settle(rows.groupBy("source", bucket(1).alias("__bucket")).agg(F.sum("size").alias("__sum")))
     goals = targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")))
     goal, one = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / one)).otherwise(F.lit(0)).cast("int")
-    goals = settle(goals.select(F.col("source").alias("__s"), "source_size", "target", epochs.alias("epochs"), F.pmod(goal, one).alias("__rest")))
+    goals = settle(goals.select(F.col("source").alias("__s"), "source_size", "target", epochs.alias("epochs"), F.pmod(goal, one).alias("__left")))
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0))).join(goals, F.col("source").eqNullSafe(F.col("__s")))
-    at = starts.where("__start <= __rest and __rest < __start + __sum").select("__s", F.col("__bucket").alias("__b"), (F.col("__rest") - F.col("__start")).alias("__left"))
+    at = goals.select("__s", "__left")
+    for level in range(1, levels + 1):
+        if level > 1:
+            sums = rows.join(at, F.col("source").eqNullSafe(F.col("__s")) & (bucket(level - 1) == F.col("__b")))
+            sums = sums.groupBy("source", bucket(level).alias("__bucket")).agg(F.sum("size").alias("__sum"))
+        starts = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0))).join(at, F.col("source").eqNullSafe(F.col("__s")))
+        at = starts.where("__start <= __left and __left < __start + __sum").select("__s", F.col("__bucket").alias("__b"), (F.col("__left") - F.col("__start")).alias("__left"))
+        at = settle(at)
     # equal rows are counted before they move, so a bucket has as many rows as different documents
-    inside = keyed.join(at, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    inside = rows.join(at, F.col("source").eqNullSafe(F.col("__s")) & (bucket(levels) == F.col("__b")))
     inside = inside.groupBy("source", "__left", _order().alias("cut")).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("__size"))
     before = Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("__left", F.col("__left") - F.coalesce(F.sum(F.col("n") * F.col("__size")).over(before), F.lit(0)))
     found = inside.where("0 <= __left and __left < n * __size").select(F.col("source").alias("__f"), "cut", "n", F.expr("__left div __size").alias("copies"), F.expr("__left % __size").alias("words"))
-    return settle(goals.drop("__rest").join(found, F.col("__s").eqNullSafe(F.col("__f")), "left").drop("__f"))
+    return settle(goals.drop("__left").join(found, F.col("__s").eqNullSafe(F.col("__f")), "left").drop("__f"))
 
 
 def _cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -134,6 +134,7 @@ def targets(sizes):
 
 
 def test_mixing(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BITS", 1)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
     got = mixing.mix(docs).collect()
     sizes, by_id = Counter(), {i: s for i, _, _, s, *_ in ROWS}
@@ -158,9 +159,10 @@ def test_mixing(docs, monkeypatch):
     assert +real == +taken
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 20_000])
-def test_mixing_cuts_among_many_equal_rows(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+@pytest.mark.parametrize("bits", [1, 2, 10])
+def test_mixing_cuts_among_many_equal_rows(spark, monkeypatch, bits):
+    monkeypatch.setattr(mixing, "BITS", bits)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
     made = [(i, "a b c", "x") for i in [None] * 40 + [7] * 30] + [(None, f"w{i} and more", "x") for i in range(5)]
     made += [(i, "word " * (i % 7), "y") for i in range(90)] + [(i, "lone words", None) for i in range(3)]
     table = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(6)
