@@ -8,9 +8,14 @@ The plan depends on the histogram alone (at most ``capacity`` numbers), never on
 3. the residual lengths go, longest first, each into the fullest sequence that still takes it.
 
 Sequences with equal content are handled together as ranges, so steps 1 to 3 cost the same for ten thousand documents
-and for ten billion. The result is a table of runs (length, first rank, count, first sequence, offset). Ranks of equal
-lengths are numbered in hash buckets with prefix sums of bucket counts, so a length that a third of all
-documents share is not one task; a document finds its run by binary search.
+and for ten billion. The result is a table of runs (length, first rank, count, first sequence, offset). Each task that cuts
+documents counts its pieces of a length as it writes them; prefix sums of the tasks' counts make these numbers ranks, so pieces don't
+move, and neither a length nor a document that makes up a third of all rows is more work for a task than its own share of the input. A piece finds
+its run by binary search.
+
+Defined results: null text is empty, a piece of one token; very long texts are cut into pieces; repeated rows and null ids are
+documents of their own; ties in length go by the order of reading, so another layout of the input may give other, equally full
+sequences; columns beside id and text are read by nothing, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +39,6 @@ CAPACITY = 4096
 END_ID = 1
 GROUPS = 64
 DEPTH = 3
-#: Pieces of one length that a bucket of ranks holds, about.
-BUCKET_ROWS = 4_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -173,22 +177,32 @@ class Plan:
                 self.sequences += new
 
 
-def pack(lengths: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """lengths (a settled table with the column length, 1 to capacity, and columns keys that tell its rows apart) with sequence_id and offset.
+def numbered(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """lengths with the task that wrote a row and the row's number among this task's rows of its length, as a settled table."""
 
-    Rows that agree in all keys are told apart by no order, so they must be equal; then any order gives the same rows.
-    """
-    histogram = {r["length"]: r["count"] for r in lengths.groupBy("length").count().collect()}  # capacity rows at most
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for b in batches:
+            length = b.column(b.schema.get_field_index("length")).to_numpy()
+            order, here = np.argsort(length, kind="stable"), np.bincount(length, minlength=capacity + 1)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) + np.repeat(seen - (np.cumsum(here) - here), here)
+            seen += here
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(nth)], [*b.schema.names, "__part", "__nth"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.schema)
+    return settle(lengths.mapInArrow(count, f"{schema}, __part int, __nth long"))
+
+
+def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """lengths (with a column length, 1 to capacity) with sequence_id and offset."""
+    rows = numbered(lengths, capacity)
+    counts = settle(rows.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n")))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # capacity rows at most
     runs = np.array(sorted(Plan(histogram, capacity).runs), np.int64).reshape(-1, 5)
-    # as many buckets as a length's count asks for; a row for each length, capacity rows at most
-    buckets = lengths.sparkSession.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in sorted(histogram.items())], "length long, __buckets int")
-    bucketed = lengths.join(F.broadcast(buckets), "length").withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.col("__buckets")).cast("int"))
-    counts = bucketed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("length", "__bucket").orderBy(*keys)
-    ranked = bucketed.withColumn("__nth", F.row_number().over(within)).join(starts, ["length", "__bucket"]).withColumn("__rank", F.col("__start") + F.col("__nth") - 1)
-    ranked = ranked.select(*lengths.columns, "__rank")
+    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = settle(counts.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
+    ranked = rows.join(starts, ["length", "__part"]).select(*lengths.columns, (F.col("__start") + F.col("__nth")).alias("__rank"))
     shift = 1 << 46  # ranks stay below
     firsts = runs[:, 0] * shift + runs[:, 1]
 
@@ -205,5 +219,4 @@ def pack(lengths: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataF
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every document and its place."""
-    cut = settle(pieces(docs, capacity, id_col, text_col, path))
-    return pack(cut, ["id", "piece", "ids_crc32", "start"], capacity).withColumnRenamed("id", id_col)
+    return pack(pieces(docs, capacity, id_col, text_col, path), capacity).withColumnRenamed("id", id_col)

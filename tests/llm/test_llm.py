@@ -91,6 +91,21 @@ def test_packing(docs):
     assert zlib.crc32(np.array(ids["ids"], "<u4").tobytes()) == ids["ids_crc32"]
 
 
+def test_packing_over_many_parts_with_one_document_repeated(spark):
+    made = [(7, 9)] * 400 + [(i, 1 + i % 16) for i in range(800)]
+    got = packing.pack(spark.createDataFrame(made, "id long, length long").repartition(13), 16)
+    assert got.columns == ["id", "length", "sequence_id", "offset"]
+    places = defaultdict(list)
+    for r in got.collect():
+        places[r.sequence_id].append((r.offset, r.length, r.id))
+    for p in places.values():
+        p.sort()
+        assert [x[0] for x in p] == [sum(y[1] for y in p[:k]) for k in range(len(p))] and sum(x[1] for x in p) <= 16
+    assert Counter((i, n) for p in places.values() for _, n, i in p) == Counter(made)
+    # a sequence takes one length above half of it, or two halves, which fit beside none of these
+    assert len(places) == sum(n > 8 for _, n in made) + 50 // 2
+
+
 @pytest.mark.parametrize("kind", ["mixed", "half", "long", "tiny"])
 def test_packing_plan(kind):
     rng = np.random.default_rng(2)
