@@ -9,9 +9,9 @@ The plan depends on the histogram alone (at most ``capacity`` numbers), never on
 
 Sequences with equal content are handled together as ranges, so steps 1 to 3 cost the same for ten thousand documents
 and for ten billion. The result is a table of runs (length, first rank, count, first sequence, offset). Each task that cuts
-documents counts its pieces of a length as it writes them; prefix sums of the tasks' counts make these numbers ranks, so pieces don't
-move, and neither a length nor a document that makes up a third of all rows is more work for a task than its own share of the input. A piece finds
-its run by binary search.
+documents counts its pieces of a length as it writes them; prefix sums of the tasks' counts make these numbers ranks. Pieces
+meet them by (length, task), by broadcast only below Spark's threshold, so neither a length nor a document that makes up a
+third of all rows is more work for a task than its own share of the input. A piece finds its run by binary search.
 
 Defined results: null text is empty, a piece of one token; very long texts are cut into pieces; repeated rows and null ids are
 documents of their own; ties in length go by the order of reading, so another layout of the input may give other, equally full
@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -39,9 +40,22 @@ CAPACITY = 4096
 END_ID = 1
 GROUPS = 64
 DEPTH = 3
+#: The task that wrote a row and the row's number among this task's rows of its length.
+NUMBER = "__part int, __nth long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+def _counted(capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    for b in batches:
+        length = b.column(b.schema.get_field_index("length")).to_numpy()
+        order, here = np.argsort(length, kind="stable"), np.bincount(length, minlength=capacity + 1)
+        nth = np.empty(len(length), np.int64)
+        nth[order] = np.arange(len(length)) + np.repeat(seen - (np.cumsum(here) - here), here)
+        seen += here
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(nth)], [*b.schema.names, "__part", "__nth"])
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False, number: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): the token ids of each text with END_ID after them, cut at multiples of capacity.
 
     Null text counts as empty: one piece of one token. An empty table gives no rows.
@@ -67,7 +81,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(out, names)
 
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return one.mapInArrow(cut, f"id {one.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    schema = f"id {one.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    if number:  # in the same Python worker
+        return one.mapInArrow(lambda batches: _counted(capacity, cut(batches)), f"{schema}, {NUMBER}")
+    return one.mapInArrow(cut, schema)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -178,31 +195,21 @@ class Plan:
 
 
 def numbered(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """lengths with the task that wrote a row and the row's number among this task's rows of its length, as a settled table."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            length = b.column(b.schema.get_field_index("length")).to_numpy()
-            order, here = np.argsort(length, kind="stable"), np.bincount(length, minlength=capacity + 1)
-            nth = np.empty(len(length), np.int64)
-            nth[order] = np.arange(len(length)) + np.repeat(seen - (np.cumsum(here) - here), here)
-            seen += here
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(nth)], [*b.schema.names, "__part", "__nth"])
-
+    """lengths (with a column length, 1 to capacity) with the task that read a row and the row's number among this task's rows of its length."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.schema)
-    return settle(lengths.mapInArrow(count, f"{schema}, __part int, __nth long"))
+    return lengths.mapInArrow(partial(_counted, capacity), f"{schema}, {NUMBER}")
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """lengths (with a column length, 1 to capacity) with sequence_id and offset."""
-    rows = numbered(lengths, capacity)
+def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Numbered rows with sequence_id and offset in place of their numbers."""
+    rows = settle(rows)
     counts = settle(rows.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # capacity rows at most
     runs = np.array(sorted(Plan(histogram, capacity).runs), np.int64).reshape(-1, 5)
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = settle(counts.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
-    ranked = rows.join(starts, ["length", "__part"]).select(*lengths.columns, (F.col("__start") + F.col("__nth")).alias("__rank"))
+    kept = [c for c in rows.columns if c not in ("__part", "__nth")]
+    ranked = rows.join(starts, ["length", "__part"]).select(*kept, (F.col("__start") + F.col("__nth")).alias("__rank"))
     shift = 1 << 46  # ranks stay below
     firsts = runs[:, 0] * shift + runs[:, 1]
 
@@ -213,10 +220,10 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = [b.column(i) for i, c in enumerate(b.schema.names) if c != "__rank"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], [*(c for c in b.schema.names if c != "__rank"), "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "__rank")
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every document and its place."""
-    return pack(pieces(docs, capacity, id_col, text_col, path), capacity).withColumnRenamed("id", id_col)
+    return pack(pieces(docs, capacity, id_col, text_col, path, number=True), capacity).withColumnRenamed("id", id_col)

@@ -93,7 +93,7 @@ def test_packing(docs):
 
 def test_packing_over_many_parts_with_one_document_repeated(spark):
     made = [(7, 9)] * 400 + [(i, 1 + i % 16) for i in range(800)]
-    got = packing.pack(spark.createDataFrame(made, "id long, length long").repartition(13), 16)
+    got = packing.pack(packing.numbered(spark.createDataFrame(made, "id long, length long").repartition(13), 16), 16)
     assert got.columns == ["id", "length", "sequence_id", "offset"]
     places = defaultdict(list)
     for r in got.collect():
