@@ -1,4 +1,4 @@
-"""Operator 5, fuzzy line dedup by MinHash. Arrow functions sign and verify, everything else is DataFrame functions.
+"""Operator 5, fuzzy line dedup by MinHash, by DataFrame functions only.
 
 1. Every line that has a word is one occurrence; equal lines share a 64-bit hash, with a second one where they are merged.
 2. Signature: all shingles of GRAM characters, lower-cased, at every character whatever the script (those of step 4).
@@ -7,30 +7,26 @@
 3. Bands of five minima, one of each order. Any two bands share one minimum at most (a transversal design), so 20 minima
    give 16 bands. Lines that share a band are candidates; candidates that agree in fewer than AGREE of the minima go.
    Members of a bucket are compared with its smallest line; where components still differ afterwards, every member with
-   all members of other components, within tasks that give out verified links only. No candidate is dropped otherwise. A pair at SIMILARITY is missed with a
+   all members of other components, in blocks of signatures. No candidate is dropped otherwise. A pair at SIMILARITY is missed with a
    probability of about 0.02, one at 0.85 of 0.005 (measured in tests/llm).
-4. Verification: exact Jaccard of the lower-cased lines' sets of GRAM-character shingles, at least SIMILARITY.
+4. Verification: Jaccard of the lower-cased lines' whole sets of GRAM-character shingles, each by its 64-bit hash, at least SIMILARITY.
 5. Components of the verified pairs; of each, the first line by (document, line number) stays.
 
 Defined results: null or empty text has no lines; lines without a word are never removed; lines shorter than GRAM are their own only
 shingle; rows equal in id and text count as one document and get equal results; null ids are ids like any other and come first; very
 long lines are signed in pieces of CHUNK characters and compared in memory in proportion to their length; only the id and text columns are read, whatever else is there; an empty table
 gives no rows.
+
+signatures() and similar_pairs() state steps 2 and 4 in numpy, for tests and use outside Spark; the query doesn't call them.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, by_bytes, components, settle
+from .common import WORD, components, settle
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -40,32 +36,37 @@ TAGS = 4
 AGREE = 10
 #: Characters that are signed at once, about.
 CHUNK = 1 << 17
-#: Bytes of text that a task takes at once.
-TEXT_BYTES = 2 << 20
 #: Lines whose hashes may be broadcast to fetch their texts (8 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: Members of a bucket that are compared at once; a larger bucket is dealt out as all pairs of such parts.
 PAIR_LIMIT = 1024
-#: Pairs of lines, and characters of lines, that are compared at once.
-PAIRS = 1 << 18
+#: 64-bit words of a line's sketch, a power of two.
+SKETCH = 32
+#: Candidates of a line in open buckets, on average, that are verified before components are looked at.
+DEGREE = 8
+#: Characters of lines that similar_pairs compares at once.
 CHARS = 1 << 18
 
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_ORDERS = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
-_HAS_WORD = re.compile(WORD).search
+#: Below 2^31, so that the products can be put together from halves that don't overflow.
+_ORDERS = np.array([0x5E3779B1, 0x65EBCA77, 0x42B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint64)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: ASCII white space, and what a minimum is where a line has no shingle of the tag.
+_SPACES = " \t\n\x0b\f\r"
+_NONE = f"{(1 << 63) - 1}L"
 _WORDS = [f"s{i}" for i in range(PERMUTATIONS)]
 
 
 def _hashes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM codes from each place on, for all places but the last GRAM - 1."""
-    x, wide = None, codes.astype(np.uint64)
-    for k in range(GRAM):
-        part = wide[k : len(wide) - (GRAM - 1 - k)] * _MULTIPLIERS[k]
-        x = part if x is None else np.add(x, part, out=x)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    return x
+    """XXH64 (seed 42) of the GRAM codes in UTF-32 from each place on, for all places but the last GRAM - 1."""
+    left = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
+    wide, n = codes.astype("<u4").byteswap().astype(np.uint64), len(codes) - (GRAM - 1)
+    x = np.full(n, 42 + 4 * GRAM, np.uint64) + _P5
+    for k in (0, 2):
+        x = left(x ^ left((wide[k : n + k] | wide[k + 1 : n + k + 1] << np.uint64(32)) * _P2, 31) * _P1, 27) * _P1 + _P4
+    x = left(x ^ wide[4 : n + 4] * _P1, 23) * _P2 + _P3
+    x = (x ^ x >> np.uint64(33)) * _P2
+    x = (x ^ x >> np.uint64(29)) * _P3
+    return x ^ x >> np.uint64(32)
 
 
 def _minima(pieces: list[str]) -> np.ndarray:
@@ -131,30 +132,42 @@ def _words(minima: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(lanes, axis=2).view(np.int64)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in by_bytes(batches, 2, TEXT_BYTES):
-        rows, places, lines = [], [], []
-        for k, text in enumerate(b.column(2).to_pylist()):
-            for n, line in enumerate((text or "").split("\n")):
-                if _HAS_WORD(line):
-                    rows.append(k)
-                    places.append(n)
-                    lines.append(line)
-        if not lines:
-            continue
-        raw = [x.encode() for x in lines]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in raw), np.uint64, len(raw)).view(np.int64)
-        c = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))
-        of, words = pa.array(rows, pa.int64()), signatures(lines)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(of), b.column(1).take(of), pa.array(places, pa.int32()), pa.array(h), pa.array(c), *[pa.array(words[:, i]) for i in range(PERMUTATIONS)]], ["id", "t", "line_no", "h", "c", *_WORDS]
-        )
+def _lines(docs: DataFrame, text_col: str, *kept: Column) -> DataFrame:
+    """The kept columns, line_no and line of every line that has a word."""
+    one = docs.select(*kept, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    return one.where(F.length(F.btrim("line", F.lit(_SPACES))) > 0)
+
+
+def _utf32(line: str, at: str | None = None) -> Column:
+    """The lower-cased line (or its piece of CHUNK shingles from at on) in UTF-32, so that its shingles have known places."""
+    if at is None:
+        return F.expr(f"encode(rpad({line}, greatest(length({line}), {GRAM}), '\\0'), 'UTF-32')")
+    piece = f"if(length({line}) > {CHUNK}, substring({line}, {at} + 1, {CHUNK + GRAM - 1}), {line})"
+    return F.expr(f"encode(rpad({piece}, greatest(least(length({line}) - {at}, {CHUNK + GRAM - 1}), {GRAM}), '\\0'), 'UTF-32')")
+
+
+def signed_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, n, s0, ...): every different line that has a word, by its hash, its occurrences and its signature, as signatures() has it."""
+    rows = _lines(docs, text_col).select(F.xxhash64("line").alias("h"), F.lower("line").alias("low"))
+    rows = rows.select("h", "low", F.explode(F.expr(f"sequence(0, greatest(length(low) - {GRAM}, 0), {CHUNK})")).alias("at"))
+    rows = rows.select("h", "at", _utf32("low", "at").alias("codes"))
+    rows = rows.select("h", "at", "codes", F.explode(F.expr(f"sequence(0, octet_length(codes) - {4 * GRAM}, 4)")).alias("i"))
+    rows = rows.select("h", F.expr("if(at + i = 0, 1, 0)").alias("new"), F.expr(f"xxhash64(substring(codes, i + 1, {4 * GRAM}))").alias("x"))
+    rows = rows.select("h", "new", F.expr("shiftrightunsigned(x, 62)").alias("tag"), F.expr("shiftright(x, 32)").alias("upper"), F.expr("x & 4294967295L").alias("lower"))
+    # two bits less than upper * 2^32 + lower times the order's number has, modulo 2^64
+    product = "shiftrightunsigned(shiftleft(upper * {0}L + shiftrightunsigned(lower * {0}L, 32), 32) | lower * {0}L & 4294967295L, 2)"
+    rows = rows.select("h", "new", "tag", *[F.expr(product.format(int(o))).alias(f"v{i}") for i, o in enumerate(_ORDERS)])
+    minima = [F.expr(f"min(if(tag = {t}L, v{i}, {_NONE}))").alias(f"m{i}{t}") for i in range(PERMUTATIONS) for t in range(TAGS)]
+    rows = rows.groupBy("h").agg(F.sum("new").alias("n"), *minima)
+    # where a line lacks a tag, the nearest one counts
+    lane = lambda i, t: f"coalesce({', '.join(f'nullif(m{i}{t ^ gap}, {_NONE})' for gap in range(TAGS))}) & 65535L"
+    return rows.select("h", "n", *[F.expr(" | ".join(f"shiftleft({lane(i, t)}, {16 * t})" for t in range(TAGS))).alias(w) for i, w in enumerate(_WORDS)])
 
 
 def marked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, line_no, h, c, s0, ...): every line that has a word, by two hashes and its signature; t tells texts of one id apart."""
-    one = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    return one.mapInArrow(_marked, f"id {one.schema['id'].dataType.simpleString()}, t long, line_no int, h long, c long, {', '.join(f'{w} long' for w in _WORDS)}")
+    """(id, t, line_no, h, c): every line that has a word, by two hashes; t tells texts of one id apart."""
+    rows = _lines(docs, text_col, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
+    return rows.select("id", "t", "line_no", F.xxhash64("line").alias("h"), F.crc32("line").alias("c"))
 
 
 def _times(a: int, b: int) -> int:
@@ -166,22 +179,13 @@ def _times(a: int, b: int) -> int:
 BANDS = [[a, *(_times(s, a) ^ b for s in range(PERMUTATIONS - 1))] for a in range(TAGS) for b in range(TAGS)]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xA0761D6478BD642F)
-    return x ^ x >> np.uint64(32)
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lanes = np.stack([b.column(i + 1).to_numpy() for i in range(PERMUTATIONS)], axis=1).view("<u2").astype(np.uint64)
-        keys = np.empty((b.num_rows, len(BANDS)), np.uint64)
-        for n, band in enumerate(BANDS):
-            own = [lanes[:, i * TAGS + t] for i, t in enumerate(band)]
-            four = own[0] | own[1] << np.uint64(16) | own[2] << np.uint64(32) | own[3] << np.uint64(48)
-            keys[:, n] = _mixed(_mixed(four) + (own[4] | np.uint64(n << 16)) * _ORDERS[0])
-        bands = np.tile(np.arange(len(BANDS), dtype=np.int32), b.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), len(BANDS))), pa.array(keys.view(np.int64).ravel()), pa.array(bands)], ["h", "key", "band"])
+def _band_keys(signed: DataFrame) -> DataFrame:
+    """(h, key): a row for each line and band; the band's number is the last four bits of its key."""
+    tags = [sum(band[i] << 2 * n for n, band in enumerate(BANDS)) for i in range(PERMUTATIONS)]
+    lane = lambda i: f"shiftrightunsigned({_WORDS[i]}, shiftleft(cast(shiftrightunsigned({tags[i]}L, 2 * band) & 3L as int), 4)) & 65535L"
+    four = " | ".join(f"shiftleft({lane(i)}, {16 * i})" for i in range(4))
+    rows = signed.select("h", *_WORDS, F.explode(F.array(*map(F.lit, range(len(BANDS))))).alias("band"))
+    return rows.select("h", F.expr(f"xxhash64({four}, {lane(4)}) & -16L | band").alias("key"))
 
 
 def _agree(a: str, b: str) -> Column:
@@ -246,14 +250,6 @@ def _compared(lines: list[str], u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in by_bytes(batches, 2, TEXT_BYTES):
-        for part in by_bytes([b], 3, TEXT_BYTES):
-            n = part.num_rows
-            hits = similar_pairs(part.column(2).to_pylist() + part.column(3).to_pylist(), np.arange(n), np.arange(n, 2 * n))
-            yield part.select([0, 1]).filter(pa.array(hits))
-
-
 def _fetched(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(h, line) of the lines whose hashes are in nodes, each different line once before it moves."""
     nodes = settle(nodes.distinct())
@@ -261,88 +257,83 @@ def _fetched(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return settle(lines.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "h", "left_semi").distinct())
 
 
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) but those that can't be similar: each bit of SKETCH that only one line's shingles set is a shingle of that line alone."""
+    rows = texts.select("h", _utf32("lower(line)").alias("codes"))
+    rows = rows.select("h", "codes", F.explode(F.expr(f"sequence(1, octet_length(codes) - {4 * GRAM - 1}, 4)")).alias("i"))
+    rows = rows.select("h", F.expr(f"xxhash64(substring(codes, i, {4 * GRAM}))").alias("x"))
+    rows = rows.select("h", "x", F.expr(f"shiftrightunsigned(x, 6) & {SKETCH - 1}L").alias("slot"), F.expr("shiftleft(1L, cast(x & 63L as int))").alias("bit"))
+    words = [F.expr(f"bit_or(if(slot = {k}L, bit, 0L))").alias(f"w{k}") for k in range(SKETCH)]
+    bits = settle(rows.groupBy("h").agg(F.count(F.lit(1)).alias("most"), *words))
+    of = lambda k: bits.select(F.col("h").alias(k), F.struct("most", *[f"w{i}" for i in range(SKETCH)]).alias(f"bits{k}"))
+    apart = " + ".join(f"bit_count(bitsa.w{k} ^ bitsb.w{k})" for k in range(SKETCH))
+    least = f"(1 - {SIMILARITY}d) / (1 + {SIMILARITY}d) * (bitsa.most + bitsb.most) + 1e-6d"
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(f"{apart} <= {least}").select(*pairs.columns)
+
+
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line hashes whose lines are similar."""
-    both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    """The pairs (a, b, ...) of line hashes whose lines are similar."""
+    lines = texts.select("h", F.lower("line").alias("low"))
+    # the codes are a variable of their own, as a column of bytes would be copied for each shingle
+    each = f"transform(sequence(1, octet_length(c) - {4 * GRAM - 1}, 4), i -> xxhash64(substring(c, i, {4 * GRAM})))"
+    shingles = lambda k: F.expr(f"transform(array({k}), c -> {each})[0]")
+    # one side's shingles are made once for each line, where its pairs meet it
+    own = lines.repartition("h").select(F.col("h").alias("a"), _utf32("low").alias("codes")).select("a", shingles("codes").alias("x"))
+    both = pairs.join(lines.select(F.col("h").alias("b"), F.col("low").alias("y")), "b").join(own, "a").select(*pairs.columns, "x", _utf32("y").alias("codes"))
+    # a row number keeps the filter from moving below the shingles, where it would make them again for each mention
+    sets = both.select(*pairs.columns, "x", shingles("codes").alias("y"), F.monotonically_increasing_id().alias("row"))
+    alike = F.size(F.array_intersect("x", "y")) >= SIMILARITY * F.size(F.array_union("x", "y")) - 1e-9
+    return sets.where((F.col("row") >= 0) & alike).select(*pairs.columns)
 
 
 _GROUP = ["key", "i", "j"]
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the components of members of a bucket, whose rows come one after another."""
-    held: list[pa.RecordBatch] = []
-
-    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if rows.num_rows > 1:
-            yield from _links(rows)
-
-    for b in by_bytes(batches, 11, TEXT_BYTES):
-        rows = pa.Table.from_batches([*held, b])
-        group = np.stack([rows.column(c).to_numpy() for c in _GROUP])
-        new = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-        last = int(new[-1]) if len(new) else 0
-        yield from done(rows.slice(0, last))
-        held = rows.slice(last).combine_chunks().to_batches()
-    if held:
-        yield from done(pa.Table.from_batches(held))
-
-
-def _links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    column = {c: rows.column(c).to_numpy() for c in [*_GROUP, "part", "band", "label", "h"]}
-    group = np.stack([column[c] for c in _GROUP])
-    lanes = np.stack([rows.column(w).to_numpy() for w in _WORDS], axis=1).view("<u2")  # order by order, tag by tag
-    _, first, line = np.unique(column["h"], return_index=True, return_inverse=True)
-    lines = rows.column("line").take(pa.array(first)).to_pylist()
-    n = rows.num_rows
-    starts = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
-    sizes = np.diff(np.append(starts, n))
-    partners = np.repeat(starts + sizes, sizes) - np.arange(n) - 1
-    wanted = np.array(BANDS) + np.arange(PERMUTATIONS) * TAGS
-    ends, at = np.cumsum(partners), 0
-    while at < n:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
-        a = np.repeat(np.arange(at, stop), partners[at:stop])
-        b = _spread(np.arange(at, stop) + 1, partners[at:stop])
-        at = stop
-        keep = (column["label"][a] != column["label"][b]) & ((column["i"][a] == column["j"][a]) | (column["part"][a] != column["part"][b]))
-        a, b = a[keep], b[keep]
-        same = lanes[a] == lanes[b]
-        keep = same.sum(axis=1) >= AGREE
-        a, b, same = a[keep], b[keep], same[keep]
-        # a pair is looked at in the first of its bands
-        keep = same[:, wanted].all(axis=2).argmax(axis=1) == column["band"][a]
-        a, b = a[keep], b[keep]
-        if len(a):
-            hits = similar_pairs(lines, line[a], line[b])
-            yield pa.RecordBatch.from_arrays([pa.array(column["label"][x[hits]]) for x in (a, b)], ["a", "b"])
+def _merged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component): the components of the labels la and lb of similar pairs (a, b, la, lb).
+
+    Where lines have more than DEGREE partners, that many are looked at first, then eight times as many and so on, without
+    pairs whose labels have met by then: in the end every pair is verified or lies within a component.
+    """
+    whole, stop, links = 1 << 30, 0, None
+    share = whole * DEGREE * texts.count() // max(1, pairs.count())
+    while True:
+        start, stop = stop, min(whole, max(1, share))
+        place = F.pmod(F.xxhash64("a", "b"), F.lit(whole))
+        found = settle(_similar(pairs.where((place >= start) & (place < stop)), texts).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        links = found if links is None else links.unionByName(found)
+        merged = settle(components(links))
+        if stop == whole:
+            return merged
+        share *= 8
+        root = lambda k: merged.select(F.col("node").alias(k), F.col("component").alias(f"root{k}"))
+        left = pairs.where(place >= stop).join(root("la"), "la", "left").join(root("lb"), "lb", "left")
+        pairs = settle(left.where(F.coalesce("rootla", "la") != F.coalesce("rootlb", "lb")).select(*pairs.columns))
 
 
 def line_classes(signed: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(h, component): line hashes that are similar to another line, with their component; signed has (h, s0, ...)."""
     signed = signed.select("h", *_WORDS)
-    rows = signed.mapInArrow(_banded, "h long, key long, band int")
-    stats = rows.groupBy("key").agg(F.min("h").alias("lo"), F.bit_xor("h").alias("x"), F.count(F.lit(1)).alias("n"))
-    stats = settle(stats.where("n > 1"))
-    # two lines: the other one is what the exclusive or leaves; more: the members
-    twos = stats.where("n = 2").select(F.col("lo").alias("a"), F.col("x").bitwiseXOR(F.col("lo")).alias("b"))
-    full = stats.where("n > 2").select("key", "n", "lo")
-    members = settle(rows.join(F.broadcast(full) if full.count() * 3 <= BROADCAST_ROWS else full, "key"))
+    bucket = Window.partitionBy("key")
+    members = _band_keys(signed).select("key", "h", F.min("h").over(bucket).alias("lo"), F.count(F.lit(1)).over(bucket).alias("n"))
+    members = settle(members.where("n > 1"))
     ends = lambda pairs, k: pairs.join(signed.select(F.col("h").alias(k), F.struct(*_WORDS).alias(f"s{k}")), k)
-    links = members.where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b"))
-    links = settle(ends(ends(twos.unionByName(links).distinct(), "b"), "a").where(_agree("sa", "sb")).select("a", "b"))
-    texts = _fetched(links.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")), docs, text_col)
-    labels = settle(components(_similar(links, texts)))
+    links = members.where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b")).distinct()
+    links = settle(ends(ends(links, "b"), "a").where(_agree("sa", "sb")).select("a", "b"))
+    either = F.explode(F.array("a", "b")).alias("h")
+    labels = settle(components(_similar(links, _fetched(links.select(either), docs, text_col))))
     # buckets of more than two in which several components meet
-    labelled = members.drop("lo").join(labels, F.col("h") == F.col("node"), "left").withColumn("label", F.coalesce("component", "h")).drop("node", "component")
+    labelled = members.where("n > 2").drop("lo").join(labels, F.col("h") == F.col("node"), "left").withColumn("label", F.coalesce("component", "h")).drop("node", "component")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    left = settle(labelled.join(open_keys, "key", "left_semi"))
     parts = F.ceil(F.col("n") / PAIR_LIMIT).cast("int")
-    left = left.join(signed, "h").join(texts, "h").withColumn("part", F.pmod(F.xxhash64("h"), parts).cast("int"))
+    left = labelled.join(open_keys, "key", "left_semi").join(signed, "h").withColumn("part", F.pmod(F.xxhash64("h"), parts).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))
-    left = left.select("key", "part", "band", "label", "h", *_WORDS, "line", F.inline(meets)).select(*_GROUP, "part", "label", *_WORDS, "h", "line", "band")
-    merged = settle(components(left.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_across, "a long, b long")))
+    left = settle(left.select("key", "part", "label", "h", F.struct(*_WORDS).alias("s"), F.inline(meets)))
+    side = lambda k: left.select(*_GROUP, *[F.col(c).alias(f"{c}{k}") for c in ("part", "label", "h", "s")])
+    across = side("a").join(side("b"), _GROUP).where("labela <> labelb and (i = j and ha < hb or parta < partb)").where(_agree("sa", "sb"))
+    across = settle(across.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"), *[F.expr(f"if(ha < hb, {x}, {y})").alias(z) for x, y, z in (("labela", "labelb", "la"), ("labelb", "labela", "lb"))]).distinct())
+    texts = _fetched(across.select(either), docs, text_col)
+    merged = _merged(settle(_possible(across, texts)), texts)
     # a label that merges is a line alone or the smallest line of a component
     merged = merged.select(F.col("node").alias("component"), F.col("component").alias("final"))
     alone = merged.join(labels.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("h"), F.col("final").alias("component"))
@@ -355,11 +346,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     class_id and class_line name the first line of its class, which is the one kept; n_class counts the class's lines.
     """
     marked = settle(marked_lines(docs, id_col, text_col))
-    signed = settle(marked.groupBy("h", "c").agg(*[F.first(w).alias(w) for w in _WORDS], F.count(F.lit(1)).alias("n")))
-    counts = signed.select("h", "c", "n").join(line_classes(signed, docs, text_col), "h", "left")
+    signed = settle(signed_lines(docs, text_col))
+    counts = signed.select("h", "n").join(line_classes(signed, docs, text_col), "h", "left")
     # of a class in which more than one line stands: most lines are alone
-    busy = settle(counts.where("n > 1 or component is not null").select("h", "c", F.coalesce("component", "h").alias("component"), F.when(F.col("component").isNull(), F.col("c")).alias("only")))
-    places = marked.select("id", "t", "line_no", "h", "c").join(busy, ["h", "c"], "left").drop("h", "c")
+    busy = settle(counts.where("n > 1 or component is not null").select("h", F.coalesce("component", "h").alias("component"), F.col("component").isNull().alias("single")))
+    # lines of one hash are told apart by the second one
+    places = marked.join(busy, "h", "left").select("id", "t", "line_no", "component", F.when(F.col("single"), F.col("c")).alias("only"))
     of = ["component", "only"]
     heads = places.where("component is not null").groupBy(*of).agg(F.min(F.struct("id", "t", "line_no")).alias("head"), F.count(F.lit(1)).alias("n_class"))
     heads = settle(heads).select(F.col("component").alias("__c"), F.col("only").alias("__o"), "head", "n_class")

@@ -411,6 +411,24 @@ def test_similar_is_exact(monkeypatch):
     assert line_dedup.similar_pairs([wide, wide[:-900] + "x", wide[:4500]], np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
 
 
+def test_lines_are_signed_and_compared_without_python(spark, monkeypatch):
+    """Every table of the operator is made by DataFrame functions, with the signatures and shingle sets that numpy gives."""
+    plans, settle = [], line_dedup.settle
+    monkeypatch.setattr(line_dedup, "settle", lambda df: plans.append(df._jdf.queryExecution().toString()) or settle(df))
+    monkeypatch.setattr(line_dedup, "DEGREE", 1)
+    rng = np.random.default_rng(9)
+    base = " ".join(prose(31, 12))
+    near = sorted({"".join(c if rng.random() > 0.03 else "q" for c in base) for _ in range(60)})
+    got, of = linked(spark, near)
+    assert got == of and plans and not any(re.search("InArrow|InPandas|Python", x) for x in plans)
+    lines = ["a", "abcd", "Abcde", "ha " * 100, "日本語テキストです", "😀 ΣΑΣ é", "x" * 700 + "y"]
+    for chunk in (1 << 17, 16):
+        monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+        rows = {r.h: r for r in line_dedup.signed_lines(spark.createDataFrame([("\n".join([*lines, lines[3]]),)], "text string")).collect()}
+        found = [rows[int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).astype(np.int64))] for x in lines]
+        assert [[r[f"s{i}"] for i in range(5)] for r in found] == line_dedup.signatures(lines).tolist() and found[3].n == 2
+
+
 def test_lines_of_null_ids_and_clashing_columns(spark):
     rows = [(None, "One long line that is the same.", 1, "x"), (3, "One long line that is the same!\nanother", 2, "y"), (3, "third of the same id, other text", 3, "z"), (3, "third of the same id, other text", 3, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h long, line string")
