@@ -296,7 +296,7 @@ def _merged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs whose labels have met by then: in the end every pair is verified or lies within a component.
     """
     whole, stop, links = 1 << 30, 0, None
-    share = whole * DEGREE * texts.count() // max(1, pairs.count())
+    share = whole * DEGREE * max(1, texts.count()) // max(1, pairs.count())
     while True:
         start, stop = stop, min(whole, max(1, share))
         place = F.pmod(F.xxhash64("a", "b"), F.lit(whole))
